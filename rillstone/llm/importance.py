@@ -22,8 +22,8 @@ from .words import SPACED, grouped, mixed, windows, with_columns_from_text, word
 BUCKETS = 1 << 18
 #: Labelled rows that the target is made of and the sample's share is taken from.
 MAX_LABELLED = 40_000
-#: Weight of the raw model in the target's, in counts for each cell: cells with little to tell say little.
-PRIOR = 20.0
+#: The target's cells keep the raw probability unless their counts are so many standard deviations off it.
+MIN_DEVIATION = 4.0
 
 
 def cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +63,11 @@ def fit(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col:
     got = sums.toPandas()
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[got["cell"]], good[got["cell"]] = got["raw"], got["good"]
-    p = (raw + 1) / (raw.sum() + BUCKETS)
-    weight = PRIOR * BUCKETS if good.sum() else 1.0
-    return np.log((good + weight * p) / (good.sum() + weight)) - np.log(p)
+    if not good.sum():
+        return np.zeros(BUCKETS)
+    expected = (raw + 1) / (raw.sum() + BUCKETS) * good.sum()
+    sure = np.abs(good - expected) > MIN_DEVIATION * np.sqrt(expected + 1)
+    return np.where(sure, np.log((good + 1) / (expected + 1)), 0.0)
 
 
 def score(df: DataFrame, ratios: np.ndarray, text_col: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
 """Quality rules and an isolation forest over what they measure.
 
 Every text gets counts (words, symbols, repeated lines and windows). A forest of random
-splits, grown on a bounded sample, says how few splits set a document apart; how few is
-too few is calibrated on labelled rows.
+splits over a bounded sample of good rows says how few splits set a document apart from
+those; how few is too few is calibrated on labelled rows of both kinds. Splits are drawn
+from the whole box that labelled rows span, so that a region without any good row is
+left in few steps.
 """
 
 from __future__ import annotations
@@ -69,7 +71,8 @@ def features(c: list[np.ndarray]) -> np.ndarray:
     """Rule statistics that don't depend on a text's length, a row for each text."""
     n, chars, symbols, dup, repeat, upper, digits, marks, lines = (np.asarray(x, float) for x in c)
     some, glyphs = np.maximum(n, 1), np.maximum(chars, 1)
-    return np.stack([chars / some, symbols / glyphs, dup / np.maximum(lines, 1), repeat / some, upper / glyphs, digits / glyphs, marks / glyphs], axis=1)
+    shares = [symbols / glyphs, dup / np.maximum(lines, 1), repeat / some, upper / glyphs, digits / glyphs, marks / glyphs]
+    return np.stack([np.log1p(chars / some), *[np.log1p(1000 * x) for x in shares]], axis=1)
 
 
 def _mean_depth(n: np.ndarray | float) -> np.ndarray:
@@ -81,27 +84,29 @@ def _mean_depth(n: np.ndarray | float) -> np.ndarray:
 class Forest:
     """Trees in arrays: the feature and threshold of each node, and where its children are."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 8):
+    def __init__(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 8):
         rng = np.random.default_rng(seed)
         self.size = min(tree_rows, len(rows))
-        self.deepest = max(1, int(np.ceil(np.log2(max(2, self.size)))))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], rng) for _ in range(trees)]
+        self.deepest = 2 * max(1, int(np.ceil(np.log2(max(2, self.size)))))
+        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], low, high, rng) for _ in range(trees)]
 
-    def _grow(self, rows: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _grow(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         feature, threshold, left, value = [], [], [], []
-        todo = [(rows, 0)]  # breadth first: children are neighbours
+        todo = [(rows, low, high, 0)]  # breadth first: children are neighbours
         while todo:
-            here, depth = todo.pop(0)
-            spread = np.flatnonzero(np.ptp(here, axis=0) > 0) if len(here) > 1 else []
-            if depth >= self.deepest or not len(spread):
+            here, lo, hi, depth = todo.pop(0)
+            wide = np.flatnonzero(hi > lo) if len(here) > 1 else []
+            if depth >= self.deepest or not len(wide):
                 feature.append(-1), threshold.append(0.0), left.append(0)
                 value.append(depth + float(_mean_depth(len(here))))
                 continue
-            f = int(rng.choice(spread))
-            t = rng.uniform(here[:, f].min(), here[:, f].max())
+            f = int(rng.choice(wide))
+            t = rng.uniform(lo[f], hi[f])
             feature.append(f), threshold.append(t), value.append(0.0)
             left.append(len(feature) + len(todo))
-            todo += [(here[here[:, f] <= t], depth + 1), (here[here[:, f] > t], depth + 1)]
+            below, above = hi.copy(), lo.copy()
+            below[f] = above[f] = t
+            todo += [(here[here[:, f] <= t], lo, below, depth + 1), (here[here[:, f] > t], above, hi, depth + 1)]
         return np.array(feature), np.array(threshold), np.array(left), np.array(value)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
@@ -145,7 +150,7 @@ def threshold_of(scores: np.ndarray, good: np.ndarray, max_good_lost: float = MA
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> tuple[Forest | None, float]:
     """Forest and threshold from at most max_labelled labelled rows, those of the least hashes of their ids.
 
-    Rows without a label, an id or 10 words teach nothing. Without any there is no
+    Rows without a label, an id or 10 words teach nothing. Without a good one there is no
     forest. An id labelled more than once counts as good if any of its labels is.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("quality") > 0).alias("_good"))
@@ -153,11 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(known), F.col("_id") == F.col("doc_id"))  # max_labelled ids
     rows = measure(rows.select("_id", "_good", "_t"), "_t").drop("_t").toPandas().drop_duplicates("_id").sort_values("_id")
     rows = rows[~base_failed(rows["n_words"], rows["n_repeat_words"])]
-    if not len(rows):
+    good = rows["_good"].to_numpy(bool)
+    if not good.any():
         return None, float("inf")
     x = features([rows[c].to_numpy() for c in _COUNTS])
-    forest = Forest(x)
-    return forest, threshold_of(forest.score(x), rows["_good"].to_numpy(bool))
+    forest = Forest(x[good], x.min(axis=0), x.max(axis=0))
+    return forest, threshold_of(forest.score(x), good)
 
 
 def judge(df: DataFrame, forest: Forest | None, threshold: float, text_col: str = "text") -> DataFrame:
