@@ -1,7 +1,9 @@
 """Byte-level BPE with a local rank file: encoding, and decoding to raw bytes.
 
 Merges are tiktoken's. Long texts are cut first where the pre-splitting pattern has to
-end a match whatever stands around: between a letter and a character that is none.
+end a match whatever stands around: between a letter and a character that is none. Very
+long runs of white space, which the pattern's look-ahead can't take, are pieces by rule:
+all of the run but the last character, or all of it at the end of a text.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ CHUNK_CHARS = 1 << 16
 # looks behind. ASCII cuts come first, as they don't depend on a version of Unicode.
 _ASCII_CUT = regex.compile(r"[A-Za-z](?=[\x00-\x40\x5B-\x60\x7B-\x7F])")
 _ANY_CUT = regex.compile(r"\p{L}(?=\P{L})")
+_LONG_BLANK = regex.compile(r"\p{White_Space}{10000,}")
 _LOADED: dict = {}
 
 
@@ -50,6 +53,20 @@ def chunks(text: str, limit: int = CHUNK_CHARS):
     yield text[at:]
 
 
+def token_ids(enc, text: str, chunk_chars: int = CHUNK_CHARS) -> np.ndarray:
+    """Ids of a text of any length."""
+    ids, at = [], 0
+    for blank in _LONG_BLANK.finditer(text):
+        end = blank.end() if blank.end() == len(text) else blank.end() - 1
+        for part in chunks(text[at : blank.start()], chunk_chars):
+            ids += enc.encode_ordinary(part)
+        ids += enc._encode_single_piece(text[blank.start() : end])
+        at = end
+    for part in chunks(text[at:], chunk_chars):
+        ids += enc.encode_ordinary(part)
+    return np.array(ids, "<u4")
+
+
 def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """df with `token_ids` (binary: little-endian unsigned 32-bit ids) and `n_tokens`.
 
@@ -61,8 +78,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
         enc = encoding(rank_path, pattern)
         packed, counts = [], []
         for t in texts:
-            parts = [np.array(enc.encode_ordinary(c), "<u4") for c in chunks((t or b"").decode(), chunk_chars)]
-            ids = parts[0] if len(parts) == 1 else np.concatenate(parts)
+            ids = token_ids(enc, (t or b"").decode(), chunk_chars)
             packed.append(ids.tobytes())
             counts.append(len(ids))
         return [packed, counts]

@@ -144,8 +144,9 @@ def with_columns_from_text(df: DataFrame, text_col: str, fields: list[T.StructFi
     """
     ready(df.sparkSession)
     keep = [c for c in df.columns if c not in {f.name for f in fields}]
-    rows = df.select(*keep, F.col(text_col).cast("binary").alias("_text"))
-    schema = T.StructType([*rows.drop("_text").schema.fields, *fields])
+    # The text goes last, under a name that no column can be expected to have.
+    rows = df.select(*keep, F.col(text_col).cast("binary").alias("_text of this batch"))
+    schema = T.StructType([*rows.schema.fields[:-1], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
