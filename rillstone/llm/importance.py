@@ -108,6 +108,7 @@ def op1_importance(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     known = saved(labelled(spark.read.parquet(f"{sf_dir}/labels.parquet")), "target")
     n, good = known.agg(F.count(F.lit(1)), F.sum(F.col("good").cast("long"))).first()
-    weighed = score(docs, fit(docs, known.filter("good").select("doc_id"))).select("doc_id", "log_weight")
-    total = docs.count()
+    # Written once: range partitioning reads its input twice.
+    weighed = saved(score(docs, fit(docs, known.filter("good").select("doc_id"))).select("doc_id", "log_weight"), "weighed")
+    total = weighed.count()
     return resample(weighed, round(total * (good or 0) / n) if n else total).select("doc_id", "log_weight", "gumbel_key", "kept")
