@@ -20,13 +20,13 @@ def prefix_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
     Null values count as 0. Rows of one key and order see each other in no set sequence;
     callers make order unique within a key.
     """
-    rows = df.withColumn("_block", F.floor(F.col(order) / block))
+    rows = df.withColumn("_block", F.col(order) - F.pmod(F.col(order), F.lit(block)))
     sums = rows.groupBy(*keys, "_block").agg(F.sum(F.coalesce(value, F.lit(0))).alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    sums = sums.withColumn("_earlier", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sums, [*keys, "_block"])
-    return rows.withColumn(out, F.col("_before") + F.coalesce(F.sum(F.coalesce(value, F.lit(0))).over(inside), F.lit(0))).drop("_block", "_before")
+    return rows.withColumn(out, F.col("_earlier") + F.coalesce(F.sum(F.coalesce(value, F.lit(0))).over(inside), F.lit(0))).drop("_block", "_earlier")
 
 
 def halving_fold(values: Column) -> Column:
