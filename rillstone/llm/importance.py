@@ -23,7 +23,7 @@ BUCKETS = 1 << 18
 #: Labelled rows that the target is made of and the sample's share is taken from.
 MAX_LABELLED = 40_000
 #: The target's cells keep the raw probability unless their counts are so many standard deviations off it.
-MIN_DEVIATION = 4.0
+MIN_DEVIATION = 3.0
 
 
 def cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
