@@ -34,6 +34,17 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
     return own.get() if own.isDefined() else None
 
 
+def exact(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, replaced: list[str]) -> list[str]:
+    """Columns of df whose names, in any case, are none of those."""
+    gone = {c.lower() for c in replaced}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder, not yet created."""
     ready(spark)

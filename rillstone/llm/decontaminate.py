@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import exact, others
 from .words import ALNUM, byte_class, grouped, with_columns_from_text, words
 
 WINDOW = 13
@@ -274,7 +275,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", b
     benchmark over block_words words takes a pass for each block; blocks then meet in
     a shuffle of spans by row.
     """
-    own = [c for c in df.columns if c not in {"n_words", "spans", "items", "n_hit", "contaminated"}]
+    own = [exact(c) for c in others(df, ["n_words", "spans", "items", "n_hit", "contaminated"])]
     found = [find(df.select(*own), phrases(b), text_col) for b in blocks(benchmark, item_col, item_text_col, block_words)]
     if len(found) == 1:
         out = found[0]

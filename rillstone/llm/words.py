@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready
+from .common import exact, others, ready
 
 GROUP_BYTES = 4 << 20
 SLICE_BYTES = 1 << 20
@@ -143,9 +143,9 @@ def with_columns_from_text(df: DataFrame, text_col: str, fields: list[T.StructFi
     compute gives an array for each field. Columns of the new names are replaced.
     """
     ready(df.sparkSession)
-    keep = [c for c in df.columns if c not in {f.name for f in fields}]
+    keep = others(df, [f.name for f in fields])
     # The text goes last, under a name that no column can be expected to have.
-    rows = df.select(*keep, F.col(text_col).cast("binary").alias("_text of this batch"))
+    rows = df.select(*map(exact, keep), F.col(text_col).cast("binary").alias("_text of this batch"))
     schema = T.StructType([*rows.schema.fields[:-1], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
