@@ -1,16 +1,18 @@
 """Exact Jaccard join of word shingles by pivots and regions of a metric space.
 
 Jaccard distance is a metric, but unrelated texts are all at distance 1 from each
-other, where the triangle inequality excludes nothing. So regions are first cut along
-shingles: linked sets share one of the rarest quarter of either's shingles, hence a
-region for each such shingle holds every link. Inside a region a pivot is compared with
-all members, members join the pivot's cell if they link, and what is left is joined
-recursively by further pivots: a member is replicated to a pivot only if its distance
-to the region's first pivot is within the radius of the pivot's (the window that the
-triangle inequality leaves), its size allows a link, and the two aren't connected yet.
-
-Equal sets are one class throughout. Before regions are made, classes that share too
-few of their least shingles with any other class are set aside; they can't link.
+other, where the triangle inequality excludes nothing. So the space is first cut along
+shingles: linked sets share one of the rarest quarter of either's shingles, and sets
+tied together by such shingles make a cell, which holds all links of its members.
+Inside a cell a block of pivots is compared with all members; a member within the
+radius of a pivot joins its region, and pivots outside the window that the triangle
+inequality leaves around the member's distance to the first pivot are passed over.
+What then still is in different regions goes on with further pivots, recursively, until
+the rest of a cell is one region or has been a pivot. Rows grow with members, never
+with pairs of members.
+
+Equal sets are one class throughout. Before cells are made, classes that share too few
+of their least shingles with any other class are set aside; they can't link.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ PERCENT = 75
 BUCKET_ROWS = 2_000_000
 #: Classes whose ids are broadcast to fetch their texts; more of them are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
-#: Pivots of a region in each round after the first.
-PIVOTS = 64
+#: Pivots of a cell in the first round; each round takes twice as many, up to a limit.
+PIVOTS, MAX_PIVOTS = 64, 512
+#: Shingles of the members that a task compares at once, about.
+TASK_SHINGLES = 2_000_000
 _U = np.uint64
 
 
@@ -135,27 +139,26 @@ def survivors(rows: DataFrame, classes: DataFrame, text_col: str, k: int, bucket
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
                 full = np.flatnonzero(cuts[1:] > cuts[:-1])
                 blobs = [[x[cuts[b] : cuts[b + 1]].tobytes() for b in full] for x in (key, tag, told)]
+                # Local counts go along in a bucket of any number, their tags without a flag.
+                local = (n.astype(np.int64).tobytes(), counted.tobytes(), b"")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*full, -1], pa.int64()), *[pa.array([*x, y], pa.binary()) for x, y in zip(blobs, (n.astype(np.int64).tobytes(), counted.tobytes(), b""), strict=True)]],
+                    [pa.array([*full, int(key[0] % _U(buckets)) if len(key) else 0], pa.int64()), *[pa.array([*x, y], pa.binary()) for x, y in zip(blobs, local, strict=True)]],
                     names=["bucket", "keys", "tags", "told"],
                 )
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, tags, told = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("keys", _U), ("tags", np.int64), ("told", bool)))
+        rows = list(zip(*[table.column(c).to_pylist() for c in ("keys", "tags", "told")], strict=True))
+        keys, tags, told = (np.frombuffer(b"".join(r[i] for r in rows if r[2]), kind) for i, kind in enumerate((_U, np.int64, bool)))
         _, tag, known, shared = _distinct_pairs(keys, tags, told)
         counted, n = np.unique(tag[shared & ~known], return_counts=True)
-        return pa.table({"_tag": pa.array(counted, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, tags in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(tags, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["_tag", "n"])
-
-    # Written once, as the local counts and the buckets are both read from it.
-    packed = saved(rows.select(F.col(text_col).cast("binary")).mapInArrow(emit, "bucket long, keys binary, tags binary, told binary"), "shingles")
-    met = packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(meet, "_tag long, n long")
-    local = packed.filter("bucket < 0").select("keys", "tags").mapInArrow(unpack, "_tag long, n long")
-    shared = met.unionByName(local).groupBy("_tag").agg(F.sum("n").alias("n"))
+        more, local = (np.frombuffer(b"".join(r[i] for r in rows if not r[2]), np.int64) for i in (0, 1))
+        every, place = np.unique(np.concatenate([counted, local]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([n, more]), len(every)).astype(np.int64)
+        return pa.table({"_tag": pa.array(every, pa.int64()), "n": pa.array(total, pa.int64())})
+
+    packed = rows.select(F.col(text_col).cast("binary")).mapInArrow(emit, "bucket long, keys binary, tags binary, told binary")
+    met = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "_tag long, n long")
+    shared = met.groupBy("_tag").agg(F.sum("n").alias("n"))
     least = F.floor((F.ceil(F.col("n_shingles") * PERCENT / 100)) / 10) + 1
     return classes.join(shared, "_tag").filter(F.col("n") >= least).drop("n")
 
@@ -185,81 +188,152 @@ def regions_of(sets: DataFrame) -> DataFrame:
     return held.filter(room > 0).select(F.explode(F.slice("held", F.lit(1), room.cast("int"))).alias("h"), "_tag", "n").select("h.s", "_tag", "n")
 
 
-def _sizes_allow(a, b):
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
-
-
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, distance, linked) of distinct pairs of classes, by their whole sets."""
-    left = sets.select(F.col("_tag").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("_tag").alias("b"), F.col("set").alias("y"))
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    got = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
-    union = F.col("sum") - F.col("both")
-    return got.select("a", "b", (1 - F.col("both") / union).alias("distance"), (100 * F.col("both") >= PERCENT * union).alias("linked"))
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of undirected edges (a, b): the least node reachable.
+    """(node, component) of undirected edges (a, b): the least node reachable, for nodes that have a lesser one.
 
     Every node points to the least of its neighbourhood, in turns from above and from
     below, until nothing moves. The number of turns follows the logarithm of the longest path.
     """
+    state = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
     now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    while True:
+    before = state(now)
+    while before[0]:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        small = saved(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
-        if small.count() == now.count() and not small.exceptAll(now).take(1):
-            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-        now = small
+        now = saved(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
+        after = state(now)
+        if after == before:
+            break
+        before = after
+    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
 
+def _renamed(rows: DataFrame, col: str, found: DataFrame) -> DataFrame:
+    """rows with a component's name replaced by that of the component it went into."""
+    return rows.join(found, rows[col] == found["node"], "left").withColumn(col, F.coalesce("component", col)).drop("node", "component")
 
-def links_of(sets: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """(a, b) of classes such that classes are connected by them just as by all links."""
+
+def cells_of(sets: DataFrame) -> DataFrame:
+    """(_tag, n, cell): classes tied together by rare shingles, in cells of two or more."""
     regions = saved(regions_of(sets), "regions")
-    # First pivots: the least class of each region; as classes are named by hashes, the same for many regions.
-    heads = regions.groupBy("s").agg(F.min("_tag").alias("pivot"), F.min_by("n", "_tag").alias("pivot_n"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    members = saved(regions.join(heads, "s"), "members")
-    pairs = members.filter((F.col("_tag") != F.col("pivot")) & _sizes_allow(F.col("n"), F.col("pivot_n"))).select(F.col("_tag").alias("a"), F.col("pivot").alias("b")).distinct()
-    seen = saved(compared(pairs, sets), "compared")
-    links = seen.filter("linked").select("a", "b")
-    # Distances to the first pivot; pairs whose sizes rule a link out were not measured and leave no window.
-    left = members.filter(F.col("_tag") != F.col("pivot")).join(seen.select(F.col("a").alias("_tag"), F.col("b").alias("pivot"), "distance"), ["_tag", "pivot"], "left").select("s", "_tag", "n", "distance")
-    left = saved(left, "left")
+    heads = regions.groupBy("s").agg(F.min("_tag").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+    tied = saved(regions.join(heads, "s").select("_tag", "n", "head").distinct(), "tied")
+    found = saved(components(tied.select(F.col("_tag").alias("a"), F.col("head").alias("b"))), "cells")
+    return _renamed(tied.select("_tag", "n", F.col("_tag").alias("cell")).distinct(), "cell", found)
+
+
+def _links_in(tags: np.ndarray, sets: list[np.ndarray], pivots: np.ndarray, members: np.ndarray) -> list[tuple[int, int]]:
+    """Links of members with pivots, as many as it takes to tie together what all of them do."""
+    keys = np.concatenate([sets[p] for p in pivots])
+    owner = np.repeat(np.arange(len(pivots)), [len(sets[p]) for p in pivots])
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    size = np.array([len(sets[p]) for p in pivots])
+    parent = {int(t): int(t) for t in tags}
+
+    def root(t: int) -> int:
+        while parent[t] != t:
+            parent[t] = parent[parent[t]]
+            t = parent[t]
+        return t
+
+    def overlaps(s: np.ndarray) -> np.ndarray:
+        lo, n = np.searchsorted(keys, s, "left"), 0
+        hi = np.searchsorted(keys, s, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        return np.bincount(owner[at], minlength=len(pivots))
+
+    first = overlaps(sets[pivots[0]])
+    from_first = 1 - first / (size + len(sets[pivots[0]]) - first)
+    radius = (100 - PERCENT) / 100 + 1e-9
+    links = []
+    for m in members:
+        both = overlaps(sets[m])
+        union = size + len(sets[m]) - both
+        window = np.abs(from_first - (1 - both[0] / union[0])) <= radius
+        for p in np.flatnonzero(window & (100 * both >= PERCENT * union)):
+            a, b = root(int(tags[m])), root(int(tags[pivots[p]]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((int(tags[m]), int(tags[pivots[p]])))
+    return links
+
+
+def compared(work: DataFrame, sets: DataFrame, max_broadcast: int, task_shingles: int) -> DataFrame:
+    """(a, b): links of cells' members with their pivots. work: (_tag, n, cell, is_pivot).
+
+    A large cell's members are dealt to several tasks by their hash, and each gets the
+    pivots, so no task holds more than a share of a cell and a block of pivots.
+    """
+    sizes = work.groupBy("cell").agg(F.ceil(F.sum("n") / task_shingles).alias("salts"))
+    work = saved(work.join(sizes, "cell"), "work")
+    total, rows = work.agg(F.sum("n"), F.count(F.lit(1))).first()
+    buckets = int(max(8, (total or 0) // task_shingles + 1))
+    own = F.pmod(F.xxhash64("_tag"), F.col("salts"))
+    dealt = work.select("_tag", "cell", "is_pivot", own.alias("salt"), F.lit(True).alias("is_member"))
+    copies = work.filter(F.col("is_pivot") & (F.col("salts") > 1)).select("_tag", "cell", "is_pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), own.alias("own")).filter("salt <> own")
+    dealt = dealt.unionByName(copies.select("_tag", "cell", "is_pivot", "salt", F.lit(False).alias("is_member")))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("cell", "salt"), F.lit(buckets)))
+    joined = sets.select("_tag", "set").join(F.broadcast(dealt) if rows <= max_broadcast else dealt, "_tag")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        cell, salt, tag = (table.column(c).to_numpy() for c in ("cell", "salt", "_tag"))
+        pivot, member = (np.array(table.column(c).to_pylist(), bool) for c in ("is_pivot", "is_member"))
+        lists = table.column("set").chunk(0) if table.column("set").num_chunks else None
+        if lists is None:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(_U)
+        order = np.lexsort((tag, salt, cell))
+        new = np.concatenate([[True], (cell[order][1:] != cell[order][:-1]) | (salt[order][1:] != salt[order][:-1])])
+        links = []
+        for rows in np.split(order, np.flatnonzero(new)[1:]):
+            own = [values[ends[i] : ends[i + 1]] for i in rows]
+            p, m = np.flatnonzero(pivot[rows]), np.flatnonzero(member[rows])
+            if len(p) and len(m):
+                links += _links_in(tag[rows], own, p, m)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return joined.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "a long, b long")
+
+
+def joined_classes(sets: DataFrame, pivots: int, max_broadcast: int, task_shingles: int) -> DataFrame:
+    """(_tag, c): each class of a cell and the least class that links lead to."""
+    left = cells_of(sets).withColumn("c", F.col("_tag"))
+    named = None
     while True:
-        found = components(links)
-        named = left.join(found, F.col("_tag") == F.col("node"), "left").select("s", "_tag", "n", "distance", F.coalesce("component", "_tag").alias("c"))
-        # Open regions: those whose members aren't all connected. Their largest part waits, the rest are pivots.
-        parts = named.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m"))
-        largest = parts.groupBy("s").agg(F.max(F.struct("m", "c")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        open_ = saved(named.join(largest.select("s", F.col("most.c").alias("main")), "s"), "open")
-        if not open_.take(1):
-            return links
-        ranked = open_.selectExpr("*", "row_number() over (partition by s order by (c = main), _tag) as turn")
-        chosen = ranked.filter(F.col("turn") <= pivots).select("s", F.col("_tag").alias("b"), F.col("n").alias("bn"), F.col("distance").alias("bd"), F.col("c").alias("bc"))
-        chosen = saved(chosen, "pivots")
-        window = F.abs(F.col("distance") - F.col("bd")) <= (100 - PERCENT) / 100 + 1e-9
-        pairs = open_.join(chosen, "s").filter((F.col("c") != F.col("bc")) & _sizes_allow(F.col("n"), F.col("bn")) & F.coalesce(window, F.lit(True)))
-        pairs = pairs.select(F.greatest("_tag", "b").alias("a"), F.least("_tag", "b").alias("b")).distinct()
-        pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        more = saved(compared(pairs, sets), "compared")
-        seen = seen.unionByName(more)
-        links = links.unionByName(more.filter("linked").select("a", "b"))
-        left = saved(open_.join(chosen.select("s", F.col("b").alias("_tag")), ["s", "_tag"], "left_anti").select("s", "_tag", "n", "distance"), "left")
-
-
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bucket_rows: int = BUCKET_ROWS, max_broadcast: int = MAX_BROADCAST, pivots: int = PIVOTS) -> DataFrame:
+        # Cells whose members aren't all connected. Their largest part waits, the rest are pivots.
+        left = saved(left, "left")
+        named = left.select("_tag", "c") if named is None else named
+        parts = left.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("m"))
+        largest = parts.groupBy("cell").agg(F.max(F.struct("m", "c")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        left = left.join(largest.select("cell", F.col("most.c").alias("main")), "cell")
+        left = left.selectExpr("*", "row_number() over (partition by cell order by (c = main), _tag) as turn")
+        left = saved(left.withColumn("is_pivot", F.col("turn") <= pivots).drop("main", "turn"), "open")
+        if not left.take(1):
+            return named
+        links = saved(compared(left.select("_tag", "n", "cell", "is_pivot"), sets, max_broadcast, task_shingles), "links")
+        # New links tie whole components together.
+        ties = links.join(named.toDF("a", "ca"), "a").join(named.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        found = saved(components(ties), "found")
+        named = saved(_renamed(named, "c", found), "named")
+        left = _renamed(left.filter(~F.col("is_pivot")).drop("is_pivot"), "c", found)
+        pivots = min(2 * pivots, MAX_PIVOTS)
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bucket_rows: int = BUCKET_ROWS, max_broadcast: int = MAX_BROADCAST, pivots: int = PIVOTS, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """df with `n_shingles` and `component_id`, the least id that links lead to.
 
     Words are what stands between ASCII blanks, A-Z in lower case; a set has the distinct
     sequences of k words, or the whole of a shorter text. Texts without words, and null,
     have an empty set and link with nothing. Rows with a null id link with nothing and
     have a null component. Rows that share an id share a component only if their texts
-    link. An empty df gives no rows. Columns of the new names are replaced, others stay.
+    link. An empty df gives no rows. Columns of the new names are replaced; others stay,
+    but for the text.
     """
     ready(df.sparkSession)
     rows = df.drop("n_shingles", "component_id", "_tag")
@@ -270,8 +344,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     usable = rows.filter(F.col(id_col).isNotNull())
     chosen = saved(survivors(usable, classes, text_col, k, bucket_rows), "survivors")
     sets = saved(sets_of(usable, chosen, id_col, text_col, k, max_broadcast), "sets")
-    found = components(links_of(sets, pivots))
-    named = classes.join(found, F.col("_tag") == F.col("node"), "left").select("_tag", "n_shingles", "_rep", F.coalesce("component", "_tag").alias("_c"))
+    found = joined_classes(sets, pivots, max_broadcast, task_shingles)
+    named = classes.join(found, "_tag", "left").select("_tag", "n_shingles", "_rep", F.coalesce("c", "_tag").alias("_c"))
     least = named.groupBy("_c").agg(F.min("_rep").alias("component_id"))
     named = named.join(least, "_c").select("_tag", "n_shingles", "component_id")
     out = marked.join(named, ["_tag", "n_shingles"], "left")
