@@ -12,8 +12,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import exact, saved
+
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Shared keys (24 bytes each) that are broadcast; more of them are joined by a shuffle.
+MAX_BROADCAST = 500_000
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -37,7 +41,7 @@ def key_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("rillstone"), key).alias("b"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """df with `kept_text`, `n_lines` and `n_dropped`.
 
     A key of at least min_chars code points found in at least min_docs distinct ids
@@ -50,14 +54,17 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     line_hashes = lambda lines: F.transform(F.filter(lines, lambda x: F.length(F.btrim(x, F.lit(BLANKS))) >= min_chars), lambda x: key_hash(line_key(x)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(line_hashes(F.split(text, "\n", -1)))).alias("_h")).select("_id", "_h.a", "_h.b")
+    held = saved(held, "held")
     # The first grouping spreads a hot key over its documents, the second gets a row for each task and key.
     shared = held.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last")).filter(F.col("_n") >= min_docs)
-    loses = held.join(shared.select("a", "b", "_last"), ["a", "b"]).filter(F.col("_id") != F.col("_last"))
+    shared = saved(shared.select("a", "b", "_last"), "shared")
+    few = shared.count() <= max_broadcast
+    loses = held.join(F.broadcast(shared) if few else shared, ["a", "b"]).filter(F.col("_id") != F.col("_last"))
     loses = loses.groupBy("_id").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
 
     rows = df.drop("kept_text", "n_lines", "n_dropped")
     names = rows.columns
-    rows = rows.select(F.struct(*[rows[c] for c in names]).alias("_row"), rows[id_col].alias("_key"))
+    rows = rows.select(F.struct(*map(exact, names)).alias("_row"), exact(id_col).alias("_key"))
     rows = rows.join(loses, F.col("_key") == F.col("_id"), "left")
     lines = F.split(F.coalesce(F.col(f"_row.{text_col}"), F.lit("")), "\n", -1)
     stays = lambda x: (F.length(F.btrim(x, F.lit(BLANKS))) < min_chars) | ~F.array_contains(F.col("_gone"), key_hash(line_key(x)))
