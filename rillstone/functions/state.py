@@ -60,3 +60,12 @@ def running_distinct(df: DataFrame, key: str, member: str, order: str, out: str,
     firsts = df.groupBy(key, member).agg(F.min(order).alias("_first"))
     rows = df.join(firsts, [key, member]).withColumn("_new", (F.col(order) == F.col("_first")).cast("long")).drop("_first")
     return prefix_sum(rows, [key], order, "_new", "_seen", block).withColumn(out, F.col("_seen") + F.col("_new")).drop("_new", "_seen")
+
+
+def value_before(df: DataFrame, keys: list[str], order: str, written: Column, out: str) -> DataFrame:
+    """df with the last value written to its key by an earlier row; null before the first write.
+
+    written is null in rows that write nothing.
+    """
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(out, F.last(written, ignorenulls=True).over(earlier))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import state
 from .operators import accuracy, apps, metrics, recovery
+from .plans import routing
 from .plans import transactions as txn
 from .sources import generators, tables, text_events
 
@@ -153,14 +155,19 @@ def zipf_pmf(spark, sf_dir):
     return generators.zipf_pmf(spark, 1000, 0.4).select("rank", F.round("p", 12).alias("p"))
 
 
+def partition_load(spark, sf_dir):
+    """Cents that events bring to each range of keys, added up in two steps."""
+    ev, n = _streams(spark, sf_dir)
+    load = routing.key_grouping(ev, "user_id", n, PARTITIONS)
+    return routing.partial_key_sum(load, "pid", "cents")
+
+
 def latest_version(spark, sf_dir):
     """As-of read: for each read event, the last committed write before it on its first key."""
     gs = _gs(spark, sf_dir)
     ops = txn.key_ops(txn.valid(gs, txn.gs_aborts()), "keys", "values").filter("idx = 0")
-    from pyspark.sql import Window
-
-    seen = F.last(F.when(~F.col("is_read"), F.col("bid")), ignorenulls=True).over(Window.partitionBy("key").orderBy("bid").rowsBetween(Window.unboundedPreceding, -1))
-    return ops.withColumn("version", seen).filter("is_read").select("bid", "key", "version")
+    ops = state.value_before(ops, ["key"], "bid", F.when(~F.col("is_read"), F.col("bid")), "version")
+    return ops.filter("is_read").select("bid", "key", "version")
 
 
 QUERIES: dict[str, Query] = {
@@ -195,6 +202,7 @@ QUERIES: dict[str, Query] = {
     "event_text_roundtrip": event_text_roundtrip,
     "result_text": result_text,
     "latest_version": latest_version,
+    "partition_load": partition_load,
     "zipf_pmf": zipf_pmf,
     "spike_moving_average": spike_moving_average,
     "tumbling_window_counts": tumbling_window_counts,
@@ -324,6 +332,7 @@ SELECT DISTINCT lost, affected FROM c""",
     "event_text_roundtrip": f"WITH {_GS} SELECT bid, user_id::INT AS k1, k2::INT AS k2, d::INT AS v1, rd AS is_read, NOT rd AND d < 0 AS is_abort FROM gse",
     "result_text": f"SELECT bid || ';' || read_sum || ',' AS value FROM ({_gs_reads('rd OR d >= 0')})",
     "latest_version": f"WITH {_GS}, f AS (SELECT bid, rd, user_id AS key FROM gse WHERE rd OR d >= 0), s AS (SELECT *, max(CASE WHEN NOT rd THEN bid END) OVER (PARTITION BY key ORDER BY bid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS version FROM f) SELECT bid, key, version FROM s WHERE rd",
+    "partition_load": f"WITH {_EV} SELECT user_id // ceil((SELECT n FROM nk) / 16.0)::BIGINT AS pid, sum(cents)::BIGINT AS total FROM ev GROUP BY 1",
     "zipf_pmf": "SELECT i AS rank, round(pow(i, -0.4) / (SELECT sum(pow(j, -0.4)) FROM range(1, 1001) r(j)), 12) AS p FROM range(1, 1001) t(i)",
     "spike_moving_average": "WITH m AS (SELECT event_id, user_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events), a AS (SELECT *, avg(cents) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS ma FROM m) SELECT event_id, user_id, cents FROM a WHERE abs(cents - ma) > 0.3 * ma",
     "tumbling_window_counts": "SELECT strftime(time_bucket(INTERVAL '6 hours', ts::TIMESTAMP, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS started, event_type, count(*) AS cnt FROM events GROUP BY 1, 2",

@@ -259,3 +259,16 @@ def test_paced_sources_have_bids(spark):
     df = spark.createDataFrame([("2024-01-01 10:00:00 3.5 x",), ("broken",)], "l string")
     ts, v = sources.sensor(F.col("l"))
     assert [r["v"] for r in df.select(v.alias("v"), ts.alias("t")).collect()] == [3.5, None]
+
+
+def test_groupings(spark):
+    from rillstone.plans import routing
+
+    df = spark.range(100).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    assert routing.shuffle_grouping(df, 5).rdd.getNumPartitions() == 5
+    placed = routing.fields_grouping(df, 4, "k").select("k", F.spark_partition_id().alias("p")).distinct()
+    assert placed.count() == 7
+    ranges = routing.key_grouping(df, "k", 7, 3)
+    assert rows(ranges.groupBy("pid").agg(F.min("k").alias("a"), F.max("k").alias("b")), "pid", "a", "b") == [(0, 0, 2), (1, 3, 5), (2, 6, 6)]
+    assert rows(routing.partial_key_sum(df, "k", "v"), "k", "total") == rows(df.groupBy("k").agg(F.sum("v").alias("total")), "k", "total")
+    assert df.join(routing.all_tasks(df.select("k").distinct()), "k").count() == 100
