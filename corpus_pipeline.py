@@ -48,8 +48,7 @@ def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed, little-endian 32 bits) of each text, with the digests of ids and of decoded bytes."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    back = byte_bpe.decode(ids, ranks, public_tokenizers.PATTERN)
+    back = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, with_decoded=True)
     return back.select("doc_id", "lang", "source", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

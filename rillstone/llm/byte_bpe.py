@@ -67,23 +67,31 @@ def token_ids(enc, text: str, chunk_chars: int = CHUNK_CHARS) -> np.ndarray:
     return np.array(ids, "<u4")
 
 
-def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def raw_bytes(enc, packed: bytes | None) -> bytes:
+    """What packed ids stand for."""
+    return enc.decode_bytes(np.frombuffer(packed or b"", "<u4").tolist())
+
+
+def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", chunk_chars: int = CHUNK_CHARS, with_decoded: bool = False) -> DataFrame:
     """df with `token_ids` (binary: little-endian unsigned 32-bit ids) and `n_tokens`.
 
-    Null and empty texts have no tokens. Special tokens' strings are ordinary text.
+    with_decoded adds `decoded`, what decode() makes of the packed ids, in the same pass. Null and empty texts have no tokens. Special tokens' strings are ordinary text.
     The rank file has to be at rank_path on every worker. Other columns stay.
     """
 
     def compute(texts):
         enc = encoding(rank_path, pattern)
-        packed, counts = [], []
+        packed, counts, back = [], [], []
         for t in texts:
             ids = token_ids(enc, (t or b"").decode(), chunk_chars)
             packed.append(ids.tobytes())
             counts.append(len(ids))
-        return [packed, counts]
+            if with_decoded:
+                back.append(raw_bytes(enc, packed[-1]))
+        return [packed, counts, back][: len(fields)]
 
-    return with_columns_from_text(df, text_col, [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], compute)
+    fields = [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType())][: 2 + with_decoded]
+    return with_columns_from_text(df, text_col, fields, compute)
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
@@ -91,7 +99,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "token_id
 
     def compute(packed):
         enc = encoding(rank_path, pattern)
-        return [[enc.decode_bytes(np.frombuffer(p or b"", "<u4").tolist()) for p in packed]]
+        return [[raw_bytes(enc, p) for p in packed]]
 
     return with_columns_from_text(df, ids_col, [T.StructField("decoded", T.BinaryType())], compute)
 
@@ -102,6 +110,5 @@ def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
     rank_path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ids = encode(docs, rank_path, pattern).drop("text")
-    back = decode(ids, rank_path, pattern)
+    back = encode(docs, rank_path, pattern, with_decoded=True)
     return back.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

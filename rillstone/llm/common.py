@@ -9,18 +9,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch: Spark's setting, its default, and ours.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and make sure checkpoints have a folder.
+    """Let Python workers import this package, bound their batches, and make sure checkpoints have a folder.
 
-    The folder is what the cluster names in spark.checkpoint.dir; a folder of our
+    Batches of Spark's default of 10,000 rows hold too much text for two workers beside
+    an executor's heap; a count that was set to something else stays. The folder is what the cluster names in spark.checkpoint.dir; a folder of our
     own is set only where that is unset, as in tests.
     """
     env = spark.sparkContext.environment
     if PACKAGE_ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), PACKAGE_ROOT) if x)
+    if spark.conf.get(BATCH_ROWS[0], BATCH_ROWS[1]) == BATCH_ROWS[1]:
+        spark.conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
     if not _checkpoint_dir(spark):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rillstone-"))
     return spark

@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from .common import exact, others, ready
 
 GROUP_BYTES = 4 << 20
 SLICE_BYTES = 1 << 20
+#: Text of the rows that are computed and sent back at once, so that memory follows this and not a batch's rows.
+PART_BYTES = 8 << 20
 _U = np.uint64
 
 
@@ -137,6 +140,17 @@ def grouped(texts: list[bytes], limit: int = GROUP_BYTES) -> Iterator[tuple[int,
         yield first, texts[first:]
 
 
+def parts_of(batch: pa.RecordBatch, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows whose last column has at most limit bytes, or one longer row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(sizes, dtype=np.int64), 0
+    while first < len(sizes):
+        done = int(ends[first - 1]) if first else 0
+        after = max(first + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield batch.slice(first, after - first)
+        first = after
+
+
 def with_columns_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], compute: Callable[[list[bytes | None]], list]) -> DataFrame:
     """df with columns that compute() makes of a batch of texts (UTF-8, null: None).
 
@@ -153,8 +167,9 @@ def with_columns_from_text(df: DataFrame, text_col: str, fields: list[T.StructFi
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
         for batch in batches:
-            made = compute(batch.column(batch.num_columns - 1).to_pylist())
-            arrays = [*batch.columns[:-1], *[pa.array(x, k) for k, x in zip(kinds, made, strict=True)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+            for part in parts_of(batch):
+                made = compute(part.column(part.num_columns - 1).to_pylist())
+                arrays = [*part.columns[:-1], *[pa.array(x, k) for k, x in zip(kinds, made, strict=True)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema)

@@ -66,6 +66,16 @@ def test_a_word_longer_than_a_slice(monkeypatch):
     assert a.hashes[0] == a.hashes[3] and a.hashes[1] == a.hashes[2] != a.hashes[0]
 
 
+def test_parts_of_a_batch():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(6)), "t": pa.array([b"", None, b"x" * 9, b"y" * 3, b"z", b"w" * 2], pa.binary())})
+    for limit in (1, 3, 4, 100):
+        parts = list(words.parts_of(batch, limit))
+        assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(6))
+        assert all(len(p) == 1 or sum(len(t or b"") for t in p.column(1).to_pylist()) <= limit for p in parts)
+
+
 def test_lines(docs, none):
     want = sorted(((i, n, gone, kept) for i, n, gone, kept in brute.lines([(i, t) for i, t, _ in ROWS])), key=repr)
     assert rows_of(line_dedup.dedup_lines(docs), "doc_id", "n_lines", "n_dropped", "kept_text") == want
@@ -160,6 +170,8 @@ def test_bpe(docs, none):
     for r in rows.collect():
         assert r["n_tokens"] == len(enc.encode_ordinary(r["text"] or "")) == len(r["token_ids"]) // 4
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
+    both = byte_bpe.encode(docs, path, pattern, with_decoded=True)
+    assert rows_of(both, "doc_id", "n_tokens", "token_ids", "decoded") == rows_of(rows, "doc_id", "n_tokens", "token_ids", "decoded")
     assert byte_bpe.encode(none, path, pattern).count() == 0
 
 
