@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from rillstone.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality_forest
 from rillstone.llm.common import saved
 
+#: Ids of kept documents (8 bytes each) that are broadcast.
+MAX_BROADCAST = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -33,7 +35,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document of the least id of each component of near copies. Rows without an id are in none and stay."""
     found = jaccard_join.jaccard_components(docs.select("doc_id", "text")).filter(F.col("component_id") == F.col("doc_id"))
     first = saved(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "first")
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi")
+    few = first.count() <= MAX_BROADCAST  # else texts are shuffled by id
+    kept = docs.join(F.broadcast(first.select("doc_id")) if few else first.select("doc_id"), "doc_id", "left_semi")
     if first.filter("rows > 1").take(1):  # repeated rows of an id
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*COLUMNS)
