@@ -104,9 +104,9 @@ def key_partition_histogram(spark, sf_dir):
 
 
 def partition_dependency_closure(spark, sf_dir):
-    """Over purchases of the first 200 bids."""
+    """Over all transfers."""
     ev, n = _streams(spark, sf_dir)
-    return recovery.dependency_closure(recovery.dependency_edges(tables.sl_events(ev).filter("bid <= 200"), n, PARTITIONS), PARTITIONS)
+    return recovery.dependency_closure(recovery.dependency_edges(tables.sl_events(ev), n, PARTITIONS), PARTITIONS)
 
 
 def event_text_roundtrip(spark, sf_dir):

@@ -40,6 +40,16 @@ def test_query(spark, duck, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-12)
 
 
+def test_closure_follows_transfers_of_late_bids(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    kind = F.when(F.col("id") == 400, "purchase").otherwise("view")
+    events = spark.range(500).select(F.col("id").alias("event_id"), F.when(F.col("id") == 400, 5).otherwise(F.col("id") % 160).alias("user_id"), kind.alias("event_type"), F.lit(0.01).alias("value"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in queries.partition_dependency_closure(spark, str(tmp_path)).select("lost", "affected").collect()}
+    assert got == {(i, i) for i in range(16)} | {(0, 4), (4, 0)}  # bid 401 pays from key 5 to key 48
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
