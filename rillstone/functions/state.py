@@ -11,20 +11,22 @@ BLOCK = 100_000
 HALVING_ROWS = 128
 
 
-def prefix_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
+def prefix_sum(df: DataFrame, keys: list[str], order: str | list[str], value: str, out: str, block: int = BLOCK) -> DataFrame:
     """df with the sum of value over earlier rows of its key, exclusive.
 
-    A key's rows are cut into blocks of `block` consecutive orders. Sums of blocks are
+    Of several order columns the later ones decide between rows equal in those before.
+    A key's rows are cut into blocks of `block` consecutive values of the first. Sums of blocks are
     combined before they are shuffled and added up per key, then each block is summed on
     its own, so that a key with a large share of all rows still spreads over tasks.
     Null values count as 0. Rows of one key and order see each other in no set sequence;
     callers make order unique within a key.
     """
-    rows = df.withColumn("_block", F.col(order) - F.pmod(F.col(order), F.lit(block)))
+    order = [order] if isinstance(order, str) else order
+    rows = df.withColumn("_block", F.col(order[0]) - F.pmod(F.col(order[0]), F.lit(block)))
     sums = rows.groupBy(*keys, "_block").agg(F.sum(F.coalesce(value, F.lit(0))).alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_earlier", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sums, [*keys, "_block"])
     return rows.withColumn(out, F.col("_earlier") + F.coalesce(F.sum(F.coalesce(value, F.lit(0))).over(inside), F.lit(0))).drop("_block", "_earlier")
 

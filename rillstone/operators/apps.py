@@ -29,10 +29,13 @@ def word_count(docs: DataFrame) -> DataFrame:
     return split_words(docs).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def running_word_count(docs: DataFrame, positions: int = 1 << 20) -> DataFrame:
-    """(doc_id, pos, word, cnt): how often the word has come, in the order of documents and positions."""
-    words = split_words(docs).withColumn("_at", F.col("doc_id") * positions + F.col("pos")).withColumn("_one", F.lit(1))
-    counted = state.prefix_sum(words, ["word"], "_at", "_one", "_before", block=positions * 1000)
+def running_word_count(docs: DataFrame, block: int = 1000) -> DataFrame:
+    """(doc_id, pos, word, cnt): how often the word has come, in the order of documents and positions.
+
+    A word's rows are cut into blocks of `block` consecutive doc_ids.
+    """
+    words = split_words(docs).withColumn("_one", F.lit(1))
+    counted = state.prefix_sum(words, ["word"], ["doc_id", "pos"], "_one", "_before", block=block)
     return counted.select("doc_id", "pos", "word", (F.col("_before") + 1).alias("cnt"))
 
 

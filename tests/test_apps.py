@@ -131,6 +131,16 @@ def test_word_count_keeps_empty_words_between_blanks(spark):
     assert rows(apps.running_word_count(docs).filter("word = 'a'"), "doc_id", "pos", "cnt") == [(1, 0, 1), (1, 2, 2), (2, 0, 3)]
 
 
+def test_running_count_of_a_text_of_over_a_million_words(spark):
+    n = (1 << 20) + 1
+    docs = spark.range(1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 1, F.concat(F.repeat(F.lit(" "), n), F.lit("a"))).otherwise("a a").alias("text"))
+    for block in ({}, {"block": 1}):
+        got = apps.running_word_count(docs, **block).filter("word = 'a'")
+        assert rows(got, "doc_id", "pos", "cnt") == [(1, n, 1), (2, 0, 2), (2, 1, 3), (3, 0, 4), (3, 1, 5)]
+    far = docs.withColumn("doc_id", F.col("doc_id") + (1 << 60))
+    assert rows(apps.running_word_count(far).filter("word = 'a'"), "cnt") == [(i,) for i in range(1, 6)]
+
+
 def test_errors_by_hand(spark):
     a, b = spark.createDataFrame([(1, 2.0), (2, 0.0)], "bid long, v double"), spark.createDataFrame([(1, 3.0), (2, 1.0)], "bid long, v double")
     assert accuracy.relative_error(a, b, ["v"]).first()["error"] == 0.75
