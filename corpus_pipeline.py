@@ -33,13 +33,27 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each component of near copies. Rows without an id are in none and stay."""
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text")).filter(F.col("component_id") == F.col("doc_id"))
-    first = saved(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "first")
-    few = first.count() <= MAX_BROADCAST  # else texts are shuffled by id
-    kept = docs.join(F.broadcast(first.select("doc_id")) if few else first.select("doc_id"), "doc_id", "left_semi")
-    if first.filter("rows > 1").take(1):  # repeated rows of an id
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*COLUMNS)
+    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"), with_tags=True).filter(F.col("doc_id").isNotNull())
+    leads = F.col("component_id") == F.col("doc_id")
+    first = saved(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(leads).alias("leads")).filter("leads > 0"), "first")
+    once = first.filter("rows = 1").select("doc_id")
+    few = once.count() <= MAX_BROADCAST  # else texts are shuffled by id
+    kept = docs.join(F.broadcast(once) if few else once, "doc_id", "left_semi").select(*COLUMNS)
+    again = first.filter("rows > 1").select("doc_id")
+    if again.take(1):
+        kept = kept.unionByName(_of_repeated_ids(docs.join(again, "doc_id", "left_semi"), found.filter(leads).join(again, "doc_id", "left_semi")))
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
+
+
+def _of_repeated_ids(docs: DataFrame, leading: DataFrame) -> DataFrame:
+    """One row of each component that leading rows are in; of texts without words, each once an id.
+
+    An id doesn't say which of its texts leads, so texts are told apart by their sets.
+    """
+    rows = jaccard_join.sketches(docs.withColumn("_t", F.col("text")), "_t")
+    chosen = leading.filter("n_shingles > 0").groupBy("_c").agg(F.min(F.struct("doc_id", "_tag")).alias("l")).select("l.*")
+    one = rows.filter("n_shingles > 0").join(chosen, ["doc_id", "_tag"]).groupBy("doc_id", "_tag").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return one.unionByName(rows.filter("n_shingles = 0").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -325,7 +325,7 @@ def joined_classes(sets: DataFrame, pivots: int, max_broadcast: int, task_shingl
         pivots = min(2 * pivots, MAX_PIVOTS)
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bucket_rows: int = BUCKET_ROWS, max_broadcast: int = MAX_BROADCAST, pivots: int = PIVOTS, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bucket_rows: int = BUCKET_ROWS, max_broadcast: int = MAX_BROADCAST, pivots: int = PIVOTS, task_shingles: int = TASK_SHINGLES, with_tags: bool = False) -> DataFrame:
     """df with `n_shingles` and `component_id`, the least id that links lead to.
 
     Words are what stands between ASCII blanks, A-Z in lower case; a set has the distinct
@@ -333,10 +333,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     have an empty set and link with nothing. Rows with a null id link with nothing and
     have a null component. Rows that share an id share a component only if their texts
     link. An empty df gives no rows. Columns of the new names are replaced; others stay,
-    but for the text.
+    but for the text. with_tags adds `_tag`, which names a row's set, and `_c`, which names
+    its component, also where components of different texts have the same least id.
     """
     ready(df.sparkSession)
-    rows = df.drop("n_shingles", "component_id", "_tag")
+    rows = df.drop("n_shingles", "component_id", "_tag", "_c")
     # Without the text: the sketches are read several times, the text twice.
     marked = saved(sketches(rows.withColumn("_t", F.col(text_col)), "_t", k).drop("_t", text_col), "sketches")
     known = marked.filter(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0))
@@ -347,10 +348,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = joined_classes(sets, pivots, max_broadcast, task_shingles)
     named = classes.join(found, "_tag", "left").select("_tag", "n_shingles", "_rep", F.coalesce("c", "_tag").alias("_c"))
     least = named.groupBy("_c").agg(F.min("_rep").alias("component_id"))
-    named = named.join(least, "_c").select("_tag", "n_shingles", "component_id")
+    named = named.join(least, "_c").select("_tag", "n_shingles", "_c", "component_id")
     out = marked.join(named, ["_tag", "n_shingles"], "left")
     own = F.when(F.col("n_shingles") > 0, F.when(F.col(id_col).isNotNull(), F.col("component_id"))).otherwise(F.col(id_col))
-    return out.withColumn("component_id", own).drop("_tag")
+    out = out.withColumn("component_id", own)
+    return out if with_tags else out.drop("_tag", "_c")
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -73,6 +73,21 @@ def test_edges(spark):
     assert corpus_pipeline.STAGES[0][1](spark, docs, SF).count() == 2
 
 
+def test_texts_that_share_an_id(spark):
+    text = lambda head, last: " ".join([*(f"{head}{i}" for i in range(40)), last])
+    rows = [
+        (1, text("a", "x")), (1, text("a", "y")), (1, text("b", "x")),  # near copies, and another text
+        (2, text("a", "z")), (2, text("c", "x")),  # a copy of 1's, and a text that leads its own
+        (3, text("d", "x")), (3, text("D", "x")), (4, text("d", "y")),  # equal sets
+        (5, text("e", "x")), (6, None), (6, None), (6, "..  "), (7, text("b", "y")),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each_group(spark, docs, SF).collect()
+    heads = sorted((r["doc_id"], r["text"][0].lower()) for r in got if r["text"] and r["doc_id"] != 6)
+    assert heads == [(1, "a"), (1, "b"), (2, "c"), (3, "d"), (5, "e")]
+    assert sum(r["doc_id"] == 6 for r in got) == 2
+
+
 def test_run(spark, steps):
     got = corpus_pipeline.run(spark, SF)
     assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == list(steps[-1].index)
