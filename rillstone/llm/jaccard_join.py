@@ -1,15 +1,14 @@
-"""Exact Jaccard join of word shingles by pivots and regions of a metric space.
+"""Exact Jaccard join of word shingles by a prefix filter, cells and blocks of pivots.
 
 Jaccard distance is a metric, but unrelated texts are all at distance 1 from each
 other, where the triangle inequality excludes nothing. So the space is first cut along
 shingles: linked sets share one of the rarest quarter of either's shingles, and sets
 tied together by such shingles make a cell, which holds all links of its members.
-Inside a cell a block of pivots is compared with all members; a member within the
-radius of a pivot joins its region, and pivots outside the window that the triangle
-inequality leaves around the member's distance to the first pivot are passed over.
-What then still is in different regions goes on with further pivots, recursively, until
-the rest of a cell is one region or has been a pivot. Rows grow with members, never
-with pairs of members.
+Inside a cell a block of pivots is compared with all members by exact overlaps; the
+window of the triangle inequality comes after these and spares no comparison. What then
+still is in different components goes on with further pivots, until the rest of a cell
+is one component or has been a pivot. Rows grow with members, never with pairs of
+members.
 
 Equal sets are one class throughout. Before cells are made, classes that share too few
 of their least shingles with any other class are set aside; they can't link.
