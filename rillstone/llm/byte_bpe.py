@@ -75,15 +75,17 @@ def raw_bytes(enc, packed: bytes | None) -> bytes:
 def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", chunk_chars: int = CHUNK_CHARS, with_decoded: bool = False) -> DataFrame:
     """df with `token_ids` (binary: little-endian unsigned 32-bit ids) and `n_tokens`.
 
-    with_decoded adds `decoded`, what decode() makes of the packed ids, in the same pass. Null and empty texts have no tokens. Special tokens' strings are ordinary text.
-    The rank file has to be at rank_path on every worker. Other columns stay.
+    with_decoded adds `decoded`, what decode() makes of the packed ids, in the same pass.
+    Null and empty texts have no tokens. Special tokens' strings are ordinary text. Bytes
+    that are no UTF-8 count as U+FFFD. The rank file has to be at rank_path on every
+    worker. Columns of the new names are replaced, all others stay.
     """
 
     def compute(texts):
         enc = encoding(rank_path, pattern)
         packed, counts, back = [], [], []
         for t in texts:
-            ids = token_ids(enc, (t or b"").decode(), chunk_chars)
+            ids = token_ids(enc, (t or b"").decode(errors="replace"), chunk_chars)
             packed.append(ids.tobytes())
             counts.append(len(ids))
             if with_decoded:

@@ -77,16 +77,28 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
             ),
         )
     )
+    return talks.withColumn("_steps", steps).select(F.col("_conv").alias(conv), F.array_join(F.transform("_blocks", block), "").alias("formatted"), _spans(F.col("_steps")).alias("loss_spans"))
+
+
+def _spans(steps: Column, part: int = 256) -> Column:
+    """Spans of the steps under the mask, by a running position.
+
+    Arrays are copied when they grow, so positions run over parts of the steps first and
+    then within each part.
+    """
     span = "array<struct<start:bigint,length:bigint>>"
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("spans")),
-        lambda a, s: F.struct(
-            (a["at"] + s["lead"] + s["chars"] + s["trail"]).alias("at"),
-            F.when(s["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + s["lead"]).alias("start"), s["chars"].alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
+    zero = F.lit(0).cast("long")
+    long = lambda s: s["lead"] + s["chars"] + s["trail"]
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(steps) / part).cast("int") - 1, F.lit(0))), lambda k: F.slice(steps, k * part + 1, F.lit(part)))
+    walk = lambda own, at: F.aggregate(
+        own,
+        F.struct(at.alias("at"), F.array().cast(span).alias("spans")),
+        lambda a, s: F.struct((a["at"] + long(s)).alias("at"), F.when(s["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + s["lead"]).alias("start"), s["chars"].alias("length"))))).otherwise(a["spans"]).alias("spans")),
+        lambda a: a["spans"],
     )
-    return talks.select(F.col("_conv").alias(conv), F.array_join(F.transform("_blocks", block), "").alias("formatted"), walked["spans"].alias("loss_spans"))
+    total = lambda own: F.aggregate(own, zero, lambda a, s: a + long(s))
+    starts = F.aggregate(parts, F.array(zero), lambda a, own: F.concat(a, F.array(F.element_at(a, -1) + total(own))))
+    return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), F.slice(starts, F.lit(1), F.size(parts)).alias("at")), lambda x: walk(x["p"], x["at"])))
 
 
 def read_chats(formatted: Column) -> Column:

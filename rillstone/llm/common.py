@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,8 +19,9 @@ def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, bound their batches, and make sure checkpoints have a folder.
 
     Batches of Spark's default of 10,000 rows hold too much text for two workers beside
-    an executor's heap; a count that was set to something else stays. The folder is what the cluster names in spark.checkpoint.dir; a folder of our
-    own is set only where that is unset, as in tests.
+    an executor's heap; a count that was set to something else stays. The folder is what
+    the cluster names in spark.checkpoint.dir; a folder of our own is set only where that
+    is unset and driver and executors are one process, as in tests.
     """
     env = spark.sparkContext.environment
     if PACKAGE_ROOT not in env.get("PYTHONPATH", "").split(":"):
@@ -27,6 +29,8 @@ def ready(spark: SparkSession) -> SparkSession:
     if spark.conf.get(BATCH_ROWS[0], BATCH_ROWS[1]) == BATCH_ROWS[1]:
         spark.conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
     if not _checkpoint_dir(spark):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rillstone-"))
     return spark
 
@@ -50,6 +54,25 @@ def others(df: DataFrame, replaced: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+def packed(names: list[str]) -> Column:
+    """Columns as one struct `_row`, so that no helper column can have the name of one."""
+    return F.struct(*(map(exact, names) if names else [F.lit(0).alias("none")])).alias("_row")
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    """The columns that packed() took."""
+    return [F.col("_row").getField(c).alias(c) for c in names]
+
+
+def bucket_labels(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that hash partitioning to n partitions puts in n different ones."""
+    found, tried = {}, max(64, 16 * n)
+    while len(found) < n:
+        rows = spark.range(tried).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+        found, tried = {r["p"]: r["id"] for r in rows}, tried * 4
+    return [found[p] for p in range(n)]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder, not yet created."""
     ready(spark)
@@ -67,21 +90,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, keys: list[Column], rank: str) -> DataFrame:
-    """df with a gapless rank from 0 in the order of keys, without a one-task window.
+def ranked(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """(_row, _rank): the rows of df as structs with gapless ranks from 0 in the order of keys, without a one-task window.
 
     Rows are range-partitioned and sorted, then checkpointed, so that every later
     read sees the same partitions. A row's rank is its place in its partition plus
     the rows of the partitions before; only a row per partition is summed up in one
     place. Keys should end in something that tells rows apart, or a run of equal
-    keys shares one partition.
+    keys shares one partition. df is read twice, first to find the ranges.
     """
     spark = ready(df.sparkSession)
-    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    by = [f"_k{i}" for i in range(len(keys))]
+    laid = df.select(packed(df.columns), *[k.alias(c) for k, c in zip(keys, by, strict=True)])
+    laid = laid.repartitionByRange(*by).sortWithinPartitions(*by).select("_row").checkpoint(eager=True)
     # Row number within the partition: the low 33 bits of Spark's increasing id.
-    laid = laid.withColumn("_part", F.spark_partition_id()).withColumn(
-        "_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    )
+    laid = laid.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = {r["_part"]: r["count"] for r in laid.groupBy("_part").count().collect()}
     before, total = [], 0
     for part in range(max(sizes, default=-1) + 1):
@@ -89,4 +112,4 @@ def ranked(df: DataFrame, keys: list[Column], rank: str) -> DataFrame:
         total += sizes.get(part, 0)
     offsets = spark.createDataFrame(before or [(0, 0)], "_part int, _before long")
     out = laid.join(F.broadcast(offsets), "_part")  # a row per partition
-    return out.withColumn(rank, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    return out.select("_row", (F.col("_before") + F.col("_at")).alias("_rank"))

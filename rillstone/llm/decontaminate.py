@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import exact, others
+from .common import exact, others, packed, ready, saved, unpacked
 from .words import ALNUM, byte_class, grouped, with_columns_from_text, words
 
 WINDOW = 13
@@ -40,12 +40,15 @@ class Phrases(NamedTuple):
     names: list[str]
 
 
-def phrases(items: list[tuple[str, bytes]], window: int = WINDOW) -> Phrases:
-    """The distinct windows of some test items; an item of fewer words is one window, one of none has none."""
+def phrases(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> Phrases:
+    """The distinct windows of some test items; an item of fewer words is one window, one of none has none.
+
+    Windows of an item without a name are searched like others and name no item.
+    """
     w = words([t for _, t in items], ALNUM, fold=True) if items else None
     vocabulary, symbol = np.unique(w.hashes, return_inverse=True) if items else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    names = sorted({n for n, _ in items})
-    place = {n: i for i, n in enumerate(names)}
+    names = sorted({n for n, _ in items if n is not None})
+    place = {n: i for i, n in enumerate(names)} | {None: -1}
     rows, owner = [], []
     for i, (name, _) in enumerate(items):
         own = symbol[w.first[i] : w.first[i + 1]].astype(np.int64) + 1
@@ -60,6 +63,7 @@ def phrases(items: list[tuple[str, bytes]], window: int = WINDOW) -> Phrases:
         return Phrases(vocabulary, np.zeros((0, window), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), names)
     distinct, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
     pairs = np.unique(np.stack([which.ravel(), np.concatenate(owner)], axis=1), axis=0)
+    pairs = pairs[pairs[:, 1] >= 0]
     return Phrases(vocabulary, distinct, (distinct > 0).sum(axis=1), np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), pairs[:, 1], names)
 
 
@@ -227,28 +231,45 @@ def scan(texts: list[bytes], p: Phrases) -> tuple[np.ndarray, list[list[tuple[in
 
 
 _SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end", "word", "word_end")])
-_FOUND = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(T.StringType()))]
 
 
-def find(df: DataFrame, p: Phrases, text_col: str = "text") -> DataFrame:
-    """df with `n_words`, `spans` and `items` for the phrases of one block."""
-    held = df.sparkSession.sparkContext.broadcast(p)  # BLOCK_WORDS words at most
+def merged(packed_spans: list[bytes | None]) -> list:
+    """Spans of several blocks as one list each, those that meet as one, and the words in them."""
+    out, hit = [], []
+    for p in packed_spans:
+        every = np.frombuffer(p or b"", "<i8").reshape(-1, 4)
+        every = every[np.argsort(every[:, 2], kind="stable")]
+        ends = np.maximum.accumulate(every[:, 1]) if len(every) else every[:, 1]
+        word_ends = np.maximum.accumulate(every[:, 3]) if len(every) else every[:, 3]
+        opens = np.flatnonzero(np.concatenate([[True], every[1:, 2] > word_ends[:-1]])) if len(every) else np.zeros(0, np.int64)
+        lasts = np.append(opens[1:], len(every)) - 1 if len(every) else opens
+        own = np.stack([every[opens, 0], ends[lasts], every[opens, 2], word_ends[lasts]], axis=1)
+        out.append([dict(zip(_SPAN.names, map(int, x), strict=True)) for x in own])
+        hit.append(int((own[:, 3] - own[:, 2]).sum()))
+    return [out, hit]
+
+
+def find(df: DataFrame, held, text_col: str, fields: list[T.StructField], finish=None, keep_text: bool = False) -> DataFrame:
+    """df with the number of words, packed spans (four whole numbers each) and items for the phrases of one block.
+
+    finish makes further columns of the packed spans.
+    """
 
     def compute(texts):
         n_words, spans, items = [], [], []
         for _, shard in grouped([t or b"" for t in texts], SHARD_BYTES):
             n, s, i = scan(shard, held.value)
             n_words.append(n)
-            spans += [[dict(zip(_SPAN.names, x, strict=True)) for x in own] for own in s]
+            spans += [np.array(own, "<i8").tobytes() for own in s]
             items += i
-        return [np.concatenate(n_words) if n_words else [], spans, items]
+        return [np.concatenate(n_words) if n_words else [], items, *(finish(spans) if finish else [spans])]
 
-    return with_columns_from_text(df, text_col, _FOUND, compute)
+    return with_columns_from_text(df, text_col, fields, compute, keep_text)
 
 
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes]]]:
-    """Test items in runs of about block_words words at most. Items without an id or a text are left out."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).dropna()
+def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, bytes]]]:
+    """Test items in runs of about block_words words at most. Items without a text are left out."""
+    rows = benchmark.select(exact(item_col).cast("string").alias("i"), exact(text_col).cast("binary").alias("t")).filter(F.col("t").isNotNull())
     block, size = [], 0
     for r in rows.toLocalIterator():
         n = len(r["t"]) // 2 + 1  # a word and its gap take two bytes
@@ -269,42 +290,35 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", b
     """df with `n_words`, `spans`, `items`, `n_hit` and `contaminated`.
 
     spans: what to remove, as (start, end) in characters and (word, word_end) in words,
-    merged and in order. items: ids of items with an occurring window, sorted as strings.
-    A null text has no words. An empty benchmark finds nothing. Each row is judged by
-    itself; rows may repeat. Columns of the new names are replaced, others stay. A
-    benchmark over block_words words takes a pass for each block; blocks then meet in
-    a shuffle of spans by row.
+    merged and in order. items: ids of items with an occurring window, sorted as strings;
+    items without an id are searched and hit words, but aren't listed. A null text has no
+    words. An empty benchmark finds nothing. Each row is judged by itself; rows may repeat.
+    Columns of the new names are replaced, others stay. A benchmark over block_words words
+    takes a pass for each block; what a pass found goes along with its rows into the next.
     """
-    own = [exact(c) for c in others(df, ["n_words", "spans", "items", "n_hit", "contaminated"])]
-    found = [find(df.select(*own), phrases(b), text_col) for b in blocks(benchmark, item_col, item_text_col, block_words)]
-    if len(found) == 1:
-        out = found[0]
-    else:
-        at = F.monotonically_increasing_id()  # the same in each pass: the same splits of the same input
-        parts = [x.withColumn("_at", at) for x in found]
-        more = [x.select("_at", F.col("spans").alias("s"), F.col("items").alias("i")) for x in parts[1:]]
-        rest = more[0]
-        for x in more[1:]:
-            rest = rest.unionByName(x)
-        rest = rest.groupBy("_at").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("i")).alias("i"))
-        out = parts[0].join(rest, "_at", "left")
-        every = F.array_sort(F.concat("spans", F.coalesce("s", F.array().cast(T.ArrayType(_SPAN)))))
-        last = lambda a: F.element_at(a, -1)
-        merged = F.aggregate(
-            every,
-            F.array().cast(T.ArrayType(_SPAN)),
-            lambda a, x: F.when((F.size(a) == 0) | (F.get(a, F.size(a) - 1)["word_end"] < x["word"]), F.concat(a, F.array(x))).otherwise(
-                F.concat(
-                    F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))),
-                    F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], x["end"]).alias("end"), last(a)["word"].alias("word"), F.greatest(last(a)["word_end"], x["word_end"]).alias("word_end"))),
-                )
-            ),
-        )
-        items = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i", F.array().cast("array<string>")))))
-        out = out.withColumn("spans", merged).withColumn("items", items).drop("_at", "s", "i")
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["word_end"] - s["word"])
-    out = out.withColumn("n_hit", n_hit)
-    return out.withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words")))
+    keep = others(df, ["n_words", "spans", "items", "n_hit", "contaminated"])
+    rows = df.select(packed(keep), exact(text_col).alias("_text"))
+    context = ready(df.sparkSession).sparkContext
+    every = blocks(benchmark, item_col, item_text_col, block_words)
+    block, n = next(every), 0
+    words_of, items_of = T.StructField("n_words", T.LongType()), lambda c: T.StructField(c, T.ArrayType(T.StringType()))
+    last = [T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("n_hit", T.LongType())]
+    while True:
+        following = next(every, None)
+        held = context.broadcast(phrases(block))  # block_words words at most
+        if following is None and not n:
+            out = find(rows, held, "_text", [words_of, items_of("items"), *last], merged)
+            break
+        rows = find(rows, held, "_text", [words_of, items_of(f"items{n}"), T.StructField(f"spans{n}", T.BinaryType())], keep_text=following is not None)
+        n += 1
+        if following is None:
+            items = F.array_sort(F.array_distinct(F.concat(*[f"items{i}" for i in range(n)])))
+            rows = rows.select("_row", "n_words", items.alias("items"), F.concat(*[f"spans{i}" for i in range(n)]).alias("_packed"))
+            out = with_columns_from_text(rows, "_packed", last, merged, keep_text=False)
+            break
+        rows, block = saved(rows, "pass"), following
+        held.unpersist()  # its pass is written
+    return out.select(*unpacked(keep), "n_words", "spans", "items", "n_hit", contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
 def cleaned(text, spans):

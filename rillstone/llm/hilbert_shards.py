@@ -10,18 +10,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import exact, others, packed, ranked, saved, unpacked
 
 BITS = 5
 N_SHARDS = 8
 
 
 def category(col: Column, bits: int = BITS) -> Column:
-    """Quantise a label: its hash cell. Null has cell 0, as has whatever hashes there."""
-    return F.coalesce(F.pmod(F.xxhash64(col), F.lit(1 << bits)).cast("int") * col.isNotNull().cast("int"), F.lit(0))
+    """Quantise a label of any type to one of up to 256 cells by its MD5. Null has cell 0, as has whatever hashes there."""
+    first = F.conv(F.substring(F.md5(col.cast("string").cast("binary")), 1, 2), 16, 10).cast("int")
+    return F.coalesce(first % (1 << bits), F.lit(0))
 
 
 def magnitude(col: Column, bits: int = BITS) -> Column:
@@ -82,20 +83,22 @@ def shard_by_hilbert(df: DataFrame, dims: dict[str, Column], ties: list[Column],
     cell and should tell rows apart, since a cell may hold a third of them. Shards
     are runs whose row counts differ by at most one; slots number a shard's rows
     from 0. With fewer rows than shards the last shards are empty. Existing columns
-    of these names are replaced. An empty df gives no rows.
+    of these names are replaced, all others stay, whatever their names. An empty df gives no rows.
     """
-    rows = df.withColumns(dims)
-    rows = rows.withColumn("hilbert", hilbert_index([F.col(c) for c in dims], bits))
-    rows = ranked(rows, [F.col("hilbert"), *ties], "_rank")
-    total = rows.count()
-    small, larger = divmod(total, n_shards)  # the first `larger` shards have one row more
+    keep = others(df, [*dims, "hilbert", "shard", "slot"])
+    cells, by = [f"_d{i}" for i in range(len(dims))], [f"_t{i}" for i in range(len(ties))]
+    rows = df.select(packed(keep), *[e.alias(c) for e, c in zip(dims.values(), cells, strict=True)], *[t.alias(c) for t, c in zip(ties, by, strict=True)])
+    # Written once: the range partitioning reads its input twice, and the index is dear.
+    rows = saved(rows.withColumn("_h", hilbert_index([F.col(c) for c in cells], bits)), "curve")
+    placed = ranked(rows, [F.col("_h"), *map(F.col, by)])
+    small, larger = divmod(rows.count(), n_shards)  # the first `larger` shards have one row more
     edge = larger * (small + 1)
     rank = F.col("_rank")
     head = F.floor(rank / (small + 1)).cast("int")
     tail = F.floor((rank - edge) / max(small, 1)).cast("int") + larger
-    first = F.when(rank < edge, F.col("shard") * (small + 1)).otherwise(edge + (F.col("shard") - larger) * small)
-    rows = rows.withColumn("shard", F.when(rank < edge, head).otherwise(tail))
-    return rows.withColumn("slot", (rank - first).cast("long")).drop("_rank")
+    first = F.when(rank < edge, F.col("_shard") * (small + 1)).otherwise(edge + (F.col("_shard") - larger) * small)
+    out = placed.select("_row._row", *[F.col("_row")[c].alias(c) for c in [*cells, "_h"]], "_rank", F.when(rank < edge, head).otherwise(tail).alias("_shard"))
+    return out.select(*unpacked(keep), *[F.col(c).alias(n) for c, n in zip(cells, dims, strict=True)], F.col("_h").alias("hilbert"), F.col("_shard").alias("shard"), (rank - first).cast("long").alias("slot"))
 
 
 def manifest(sharded: DataFrame, dims: list[str]) -> DataFrame:
@@ -110,6 +113,23 @@ def prune(boxes: DataFrame, wanted: dict[str, int]) -> DataFrame:
     return boxes.filter(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 
+def write_shards(sharded: DataFrame, dims: list[str], folder: str) -> None:
+    """Each shard as a folder of files below folder/data, and the boxes of all as folder/manifest."""
+    sharded.write.partitionBy("shard").parquet(f"{folder}/data")
+    manifest(sharded.sparkSession.read.parquet(f"{folder}/data"), dims).coalesce(1).write.parquet(f"{folder}/manifest")
+
+
+def read_cells(spark: SparkSession, folder: str, wanted: dict[str, int]) -> DataFrame:
+    """Rows of the wanted cells, from the files of those shards alone whose boxes can hold them."""
+    boxes = spark.read.parquet(f"{folder}/manifest")
+    shards = [r["shard"] for r in prune(boxes, wanted).select("shard").collect()]  # a number for each shard
+    own = reduce(lambda a, b: a & b, [exact(c) == v for c, v in wanted.items()], F.lit(True))
+    every = spark.read.option("basePath", f"{folder}/data")
+    if not shards:
+        return every.parquet(f"{folder}/data").limit(0)
+    return every.parquet(*[f"{folder}/data/shard={k}" for k in sorted(shards)]).filter(own)
+
+
 def op2_hilbert_shards(spark, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 along the curve of language, source and size (law: rows)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -122,5 +142,5 @@ def op2_hilbert_shards(spark, sf_dir: str) -> DataFrame:
         "source",
     )
     dims = {"lang_cell": category(F.col("lang")), "source_cell": category(F.col("source")), "size_cell": magnitude(F.col("size"))}
-    out = shard_by_hilbert(rows, dims, [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    out = shard_by_hilbert(rows, dims, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert", *dims)

@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ranked, ready, saved
+from .common import exact, others, packed, ranked, ready, saved, unpacked
 from .words import SPACED, grouped, mixed, windows, with_columns_from_text, words
 
 BUCKETS = 1 << 18
 #: Labelled rows that the target is made of and the sample's share is taken from.
 MAX_LABELLED = 40_000
-#: The target's cells keep the raw probability unless their counts are so many standard deviations off it.
-MIN_DEVIATION = 3.0
+#: Standard deviations off the raw model at which a cell's log ratio counts half.
+HALF_SURE = 10.0
 
 
 def cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -36,6 +36,20 @@ def cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (keys & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate([text_of, text_of[:-1][whole]])
 
 
+def log_ratios(raw: np.ndarray, good: np.ndarray, half_sure: float = HALF_SURE) -> np.ndarray:
+    """Log ratio of target and raw model for cells with these counts.
+
+    Both models add one to each count. The target model is then drawn towards the raw one, the
+    less the target's count is off the expected one: z standard deviations count as
+    z^2 / (z^2 + half_sure^2) of the log ratio. No cell is left out.
+    """
+    if not good.sum():
+        return np.zeros(len(raw))
+    expected = (raw + 1) / (raw.sum() + len(raw)) * good.sum()
+    z2 = (good - expected) ** 2 / (expected + 1)
+    return np.log((good + 1) / (expected + 1)) * z2 / (z2 + half_sure**2)
+
+
 def fit(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Log ratio of target and raw model for each cell.
 
@@ -44,7 +58,7 @@ def fit(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col:
     """
     ready(df.sparkSession)
     marked = target_ids.toDF("_id").distinct().withColumn("_target", F.lit(True))
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t")).join(F.broadcast(marked), "_id", "left")
+    rows = df.select(exact(id_col).alias("_id"), exact(text_col).cast("binary").alias("_t")).join(F.broadcast(marked), "_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
@@ -63,11 +77,7 @@ def fit(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col:
     got = sums.toPandas()
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[got["cell"]], good[got["cell"]] = got["raw"], got["good"]
-    if not good.sum():
-        return np.zeros(BUCKETS)
-    expected = (raw + 1) / (raw.sum() + BUCKETS) * good.sum()
-    sure = np.abs(good - expected) > MIN_DEVIATION * np.sqrt(expected + 1)
-    return np.where(sure, np.log((good + 1) / (expected + 1)), 0.0)
+    return log_ratios(raw, good)
 
 
 def score(df: DataFrame, ratios: np.ndarray, text_col: str = "text") -> DataFrame:
@@ -90,10 +100,11 @@ def resample(df: DataFrame, k: int, id_col: str = "doc_id", seed: str = "resampl
     The noise is a function of the id and the seed, so runs repeat; rows of one id have
     the same. Ties go by a hash of the id. k beyond the rows keeps all.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = df.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
-    rows = ranked(rows, [F.col("gumbel_key").desc(), F.xxhash64(id_col), F.col(id_col)], "_rank")
-    return rows.withColumn("kept", F.col("_rank") < k).drop("_rank")
+    u = (F.pmod(F.xxhash64(F.lit(seed), exact(id_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    keep = others(df, ["gumbel_key", "kept"])
+    rows = df.select(packed(keep), (F.col("log_weight") - F.log(-F.log(u))).alias("_key"), exact(id_col).alias("_id"))
+    rows = ranked(rows, [-F.col("_key"), F.xxhash64("_id"), F.col("_id")])
+    return rows.select("_row._row", F.col("_row._key").alias("gumbel_key"), (F.col("_rank") < k).alias("kept")).select(*unpacked(keep), "gumbel_key", "kept")
 
 
 def labelled(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:

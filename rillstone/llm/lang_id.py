@@ -11,17 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready
+from .common import exact, ready, saved
 from .words import mixed, with_columns_from_text
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Rows of a language to learn from, about; rows in all; passes over them.
 ROWS_PER_LANG, MAX_ROWS, EPOCHS = 1000, 20_000, 2
+#: Cells of all rows to learn from (8 bytes each, on the driver).
+MAX_CELLS = 16_000_000
 #: Of the learner: step size, its offset, L1 and L2 penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
@@ -45,12 +47,12 @@ def _folded() -> np.ndarray:
 def ngram_counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Hash cells of the n-grams of a whole text, and how often each comes; None without a letter.
 
-    What is no letter counts as a blank, and a run of blanks as one.
+    What is no letter, or no UTF-8, counts as a blank, and a run of blanks as one.
     """
     if not text:
         return None
     table, total = _folded(), np.zeros(BUCKETS, np.int64)
-    whole, tail, letters = text.decode(), np.full(1, 32, np.uint32), False
+    whole, tail, letters = text.decode(errors="replace"), np.full(1, 32, np.uint32), False
     for at in range(0, len(whole), _PIECE):
         now = table[np.frombuffer(whole[at : at + _PIECE].encode("utf-32-le"), np.uint32)]
         letters = letters or bool((now != 32).any())
@@ -162,14 +164,15 @@ def learn(model: Model, rows: list[tuple[tuple[np.ndarray, np.ndarray], int]], s
         model.temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG, max_rows: int = MAX_ROWS) -> Model:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG, max_rows: int = MAX_ROWS, max_cells: int = MAX_CELLS) -> Model:
     """Model of the rows of df that have a language and a text with a letter.
 
     Document frequencies cover all rows. The regression learns from about rows_per_lang
-    rows of each language, those of least hashes of their ids, and max_rows in all.
+    ids of each language, those of least hashes, max_rows ids and max_cells cells in all, one row of each id
+    and language. Rows without an id don't take part in it.
     Without any row there are no languages and everything is `und`.
     """
-    rows = df.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_lang"))
+    rows = df.select(exact(id_col).alias("_id"), exact(text_col).alias("_t"), exact(lang_col).alias("_lang")).filter(F.col("_lang").isNotNull())
     frequencies, texts = document_frequencies(rows, "_t")
     idf = np.log((1 + texts) / (1 + frequencies)) + 1
     sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(max_rows).collect()
@@ -178,16 +181,23 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     # A row is taken if its hash is in its language's share of the hashes.
     share = df.sparkSession.createDataFrame([(r["_lang"], min(1.0, rows_per_lang / r["n"])) for r in sizes], "_lang string, _share double")
     u = F.pmod(F.xxhash64(F.lit("lang_id"), "_id"), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.join(F.broadcast(share), "_lang").filter(u < F.col("_share"))  # max_rows languages at most
-    taken = taken.orderBy(F.xxhash64(F.lit("lang_id"), "_id"), "_id").limit(max_rows)
+    # Ids first, at most max_rows; their texts stay where they are and only their cells go to the driver.
+    ids = rows.select("_id", "_lang").filter(F.col("_id").isNotNull()).join(F.broadcast(share), "_lang").filter(u < F.col("_share"))  # max_rows languages at most
+    ids = saved(ids.select("_id").distinct().orderBy(F.xxhash64(F.lit("lang_id"), "_id"), "_id").limit(max_rows), "lang_ids")
+    taken = rows.join(F.broadcast(ids), "_id", "left_semi")
 
     def pack(texts):
         grams = [ngram_counts(t) for t in texts]
         return [[None if g is None else g[0].astype("<i4").tobytes() for g in grams], [None if g is None else g[1].astype("<i4").tobytes() for g in grams]]
 
-    packed = with_columns_from_text(taken, "_t", [T.StructField("_cells", T.BinaryType()), T.StructField("_counts", T.BinaryType())], pack)
-    sample = packed.filter(F.col("_cells").isNotNull()).select("_id", "_lang", "_cells", "_counts").collect()
-    sample.sort(key=lambda r: (str(r["_id"]), r["_lang"], bytes(r["_cells"])))
+    packed = with_columns_from_text(taken, "_t", [T.StructField("_cells", T.BinaryType()), T.StructField("_counts", T.BinaryType())], pack, keep_text=False)
+    packed = saved(packed.filter(F.col("_cells").isNotNull()).select("_id", "_lang", "_cells", "_counts"), "lang_rows")
+    # Ids in the order of their hashes, as many as max_cells allow; the window sees max_rows ids and no cells.
+    sizes = packed.groupBy("_id").agg((F.sum(F.octet_length("_cells")) / 4).alias("_n"))
+    order = Window.orderBy(F.xxhash64(F.lit("lang_id"), "_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = sizes.withColumn("_sum", F.sum("_n").over(order)).filter(F.col("_sum") <= max_cells).select("_id")
+    sample = packed.join(F.broadcast(within), "_id", "left_semi").collect()
+    sample = list({(r["_id"], r["_lang"]): r for r in sorted(sample, key=lambda r: (str(r["_id"]), r["_lang"], bytes(r["_cells"])))}.values())
     model = Model(sorted({r["_lang"] for r in sample}), idf)
     place = {x: i for i, x in enumerate(model.langs)}
     learn(model, [(vector((np.frombuffer(r["_cells"], "<i4"), np.frombuffer(r["_counts"], "<i4")), idf), place[r["_lang"]]) for r in sample])

@@ -12,12 +12,14 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import exact, saved
+from .common import exact, others, packed, saved, unpacked
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 #: Shared keys (24 bytes each) that are broadcast; more of them are joined by a shuffle.
 MAX_BROADCAST = 500_000
+#: Parts of a key's documents where keys are joined by a shuffle.
+SALTS = 16
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -51,30 +53,33 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     null id are left whole and count for no key. Other columns stay as they are; the
     three new ones replace columns of the same names.
     """
-    line_hashes = lambda lines: F.transform(F.filter(lines, lambda x: F.length(F.btrim(x, F.lit(BLANKS))) >= min_chars), lambda x: key_hash(line_key(x)))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    held = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(line_hashes(F.split(text, "\n", -1)))).alias("_h")).select("_id", "_h.a", "_h.b")
-    held = saved(held, "held")
+    long = lambda x: F.length(F.btrim(x, F.lit(BLANKS))) >= min_chars
+    text = F.coalesce(exact(text_col), F.lit(""))
+    split = F.split(text, "\n", -1)
+    # Rows of one id may have different texts; the text's hash tells their positions apart.
+    placed = F.filter(F.transform(split, lambda x, i: F.when(long(x), F.struct(i.alias("pos"), key_hash(line_key(x)).alias("h")))), lambda x: x.isNotNull())
+    held = df.select(exact(id_col).alias("_id"), F.xxhash64(text).alias("_v"), F.explode(placed).alias("_x")).filter(F.col("_id").isNotNull())
+    held = saved(held.select("_id", "_v", "_x.pos", "_x.h.a", "_x.h.b"), "held")
     # The first grouping spreads a hot key over its documents, the second gets a row for each task and key.
-    shared = held.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last")).filter(F.col("_n") >= min_docs)
+    shared = held.select("_id", "a", "b").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last")).filter(F.col("_n") >= min_docs)
     shared = saved(shared.select("a", "b", "_last"), "shared")
     few = shared.count() <= max_broadcast
-    loses = held.join(F.broadcast(shared) if few else shared, ["a", "b"]).filter(F.col("_id") != F.col("_last"))
-    loses = loses.groupBy("_id").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
-
-    rows = df.drop("kept_text", "n_lines", "n_dropped")
-    names = rows.columns
-    rows = rows.select(F.struct(*map(exact, names)).alias("_row"), exact(id_col).alias("_key"))
-    rows = rows.join(loses, F.col("_key") == F.col("_id"), "left")
-    lines = F.split(F.coalesce(F.col(f"_row.{text_col}"), F.lit("")), "\n", -1)
-    stays = lambda x: (F.length(F.btrim(x, F.lit(BLANKS))) < min_chars) | ~F.array_contains(F.col("_gone"), key_hash(line_key(x)))
-    rows = rows.withColumn("_lines", lines).withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays)))
-    return rows.select(
-        *[F.col("_row").getField(c).alias(c) for c in names],
-        F.array_join("_kept", "\n").alias("kept_text"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-    )
+    if not few:  # a hot key's rows in SALTS parts, each with a copy of the key
+        held = held.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+        shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    loses = held.join(F.broadcast(shared) if few else shared, ["a", "b", *([] if few else ["_salt"])]).filter(F.col("_id") != F.col("_last"))
+    loses = loses.select("_id", "_v", "pos").distinct().groupBy("_id", "_v").agg(F.sort_array(F.collect_list("pos")).alias("_gone"))
+
+    keep = others(df, ["kept_text", "n_lines", "n_dropped"])
+    rows = df.select(packed(keep), exact(id_col).alias("_key"), F.xxhash64(text).alias("_w"), split.alias("_lines"))
+    # Null ids lose nothing; the text's hash spreads them over tasks.
+    rows = rows.join(loses, (F.col("_key") == F.col("_id")) & (F.col("_w") == F.col("_v")), "left")
+    # What stays are the runs between lost positions.
+    ends = F.concat("_gone", F.array(F.size("_lines")))
+    before = lambda i: F.coalesce(F.get("_gone", i - 1), F.lit(-1))
+    runs = F.flatten(F.transform(ends, lambda e, i: F.slice("_lines", F.when(i > 0, before(i)).otherwise(-1) + 2, e - F.when(i > 0, before(i)).otherwise(-1) - 1)))
+    rows = rows.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(runs))
+    return rows.select(*unpacked(keep), F.array_join("_kept", "\n").alias("kept_text"), F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Every text gets counts (words, symbols, repeated lines and windows). A forest of random
 splits over a bounded sample of good rows says how few splits set a document apart from
-those; how few is too few is calibrated on labelled rows of both kinds. Splits are drawn
-from the whole box that labelled rows span, so that a region without any good row is
-left in few steps.
+those; how few is too few is calibrated on labelled rows of both kinds that the forest has
+not seen. Splits are drawn from the whole box that labelled rows span, so that a region
+without any good row is left in few steps: bad rows come in bulk, and a forest over all
+rows, or one that splits the range of a node's rows, takes such bulk for normal.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import exact, ready
 from .words import SPACED, byte_class, grouped, mixed, sums_by_text, windows, with_columns_from_text, words
 
 WINDOW = 5
 #: Bounds of what is learnt from: labelled rows, trees, rows of a tree.
 MAX_LABELLED, TREES, TREE_ROWS = 20_000, 128, 256
+#: Labelled rows from which on those that calibrate are others than those that grow the forest.
+MIN_APART = 100
 #: Share of good labelled rows that the threshold may reject.
 MAX_GOOD_LOST = 0.005
 
@@ -63,8 +67,8 @@ def counts(texts: list[bytes | None]) -> list[np.ndarray]:
 
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with the counts of its texts as long columns."""
-    return with_columns_from_text(df, text_col, [T.StructField(c, T.LongType()) for c in _COUNTS], counts)
+    """df with the counts of its texts as long columns, and without the texts."""
+    return with_columns_from_text(df, text_col, [T.StructField(c, T.LongType()) for c in _COUNTS], counts, keep_text=False)
 
 
 def features(c: list[np.ndarray]) -> np.ndarray:
@@ -150,20 +154,26 @@ def threshold_of(scores: np.ndarray, good: np.ndarray, max_good_lost: float = MA
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> tuple[Forest | None, float]:
     """Forest and threshold from at most max_labelled labelled rows, those of the least hashes of their ids.
 
-    Rows without a label, an id or 10 words teach nothing. Without a good one there is no
-    forest. An id labelled more than once counts as good if any of its labels is.
+    Half of them, by their hashes, grow the forest; the other half sets the threshold. With
+    fewer than MIN_APART rows both use all. Rows without a label or an id, or that fail the base rules,
+    teach nothing. Without a good one there is no forest. An id labelled more than once counts as
+    good if any of its labels is.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("quality") > 0).alias("_good"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(known), F.col("_id") == F.col("doc_id"))  # max_labelled ids
-    rows = measure(rows.select("_id", "_good", "_t"), "_t").drop("_t").toPandas().drop_duplicates("_id").sort_values("_id")
+    known = known.withColumn("_u", F.xxhash64("doc_id")).orderBy("_u", "doc_id").limit(max_labelled)
+    rows = docs.select(exact(id_col).alias("_id"), exact(text_col).alias("_t")).join(F.broadcast(known), F.col("_id") == F.col("doc_id"))  # max_labelled ids
+    rows = measure(rows.select("_id", "_good", "_u", "_t"), "_t").toPandas().drop_duplicates("_id").sort_values("_id")
     rows = rows[~base_failed(rows["n_words"], rows["n_repeat_words"])]
     good = rows["_good"].to_numpy(bool)
     if not good.any():
         return None, float("inf")
     x = features([rows[c].to_numpy() for c in _COUNTS])
-    forest = Forest(x[good], x.min(axis=0), x.max(axis=0))
-    return forest, threshold_of(forest.score(x), good)
+    grows = (rows["_u"].to_numpy() >> 20) % 2 == 0 if len(rows) >= MIN_APART else np.ones(len(rows), bool)
+    if not (good & grows).any():
+        grows[:] = True
+    forest = Forest(x[good & grows], x[grows].min(axis=0), x[grows].max(axis=0))
+    judges = ~grows if not grows.all() else grows
+    return forest, threshold_of(forest.score(x[judges]), good[judges])
 
 
 def judge(df: DataFrame, forest: Forest | None, threshold: float, text_col: str = "text") -> DataFrame:
@@ -173,11 +183,12 @@ def judge(df: DataFrame, forest: Forest | None, threshold: float, text_col: str
     windows, fail the base rules and go; others go if the forest finds them too odd.
     Null counts as empty. Columns of the new names are replaced, others stay.
     """
+    held = ready(df.sparkSession).sparkContext.broadcast(forest)  # TREES trees of 2 * TREE_ROWS nodes, about
 
     def compute(texts):
         c = counts(texts)
         failed = base_failed(c[0], c[4])
-        odd = forest.score(features(c)) if forest else np.zeros(len(texts))
+        odd = held.value.score(features(c)) if held.value else np.zeros(len(texts))
         return [*c, failed, odd, ~failed & (odd <= threshold)]
 
     fields = [*[T.StructField(c, T.LongType()) for c in _COUNTS], T.StructField("base_failed", T.BooleanType()), T.StructField("anomaly", T.DoubleType()), T.StructField("kept", T.BooleanType())]

@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, saved, scratch
+from .common import exact, others, packed, ready, saved, scratch, unpacked
 
 #: Groups of equal payloads that are broadcast; more of them are joined by a shuffle.
 MAX_BROADCAST = 100_000
+#: Parts of a group's rows where groups are joined by a shuffle.
+SALTS = 16
 CHUNK = 1 << 20
 MONOLITHIC_LEVEL, MEMBER_LEVEL = 1, 4
 DATE = "1970-01-01T00:00:00Z"
@@ -126,17 +128,20 @@ def with_record_types(pages: DataFrame, id_col: str = "page_id", html_col: str =
     response and the others revisit it; of repeated rows of that id one is the response.
     Smaller payloads are responses. Null html is the empty payload; a null id is less
     than any other. The input has to give its rows in the same partitions each time, as
-    a table does.
+    a table does. Columns of the new names are replaced, all others stay.
     """
-    rows = pages.withColumn("payload", F.coalesce(F.col(html_col), F.lit("")).cast("binary"))
-    rows = rows.withColumn("_sha1", F.sha1("payload")).withColumn("_at", F.monotonically_increasing_id())
-    copies = rows.filter(F.octet_length("payload") >= min_bytes).select("_sha1", F.struct(F.col(id_col).alias("id"), F.col("_at").alias("at")).alias("w"))
+    keep = others(pages, ["payload", "record_type", "refers_to"])
+    payload = F.coalesce(exact(html_col), F.lit("")).cast("binary")
+    rows = pages.select(packed(keep), exact(id_col).alias("_id"), payload.alias("payload"), F.sha1(payload).alias("_sha1"), F.monotonically_increasing_id().alias("_at"))
+    copies = rows.filter(F.octet_length("payload") >= min_bytes).select("_sha1", F.struct(F.col("_id").alias("id"), F.col("_at").alias("at")).alias("w"))
     first = saved(copies.groupBy("_sha1").agg(F.max("w").alias("_first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "copies")
-    groups = first.count()
-    rows = rows.join(F.broadcast(first) if groups <= max_broadcast else first, "_sha1", "left")
+    few = first.count() <= max_broadcast
+    if not few:  # a common payload's rows in SALTS parts, each with a copy of the group's row
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(SALTS)).cast("int"))
+        first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.join(F.broadcast(first) if few else first, ["_sha1", *([] if few else ["_salt"])], "left")
     own = F.col("_first").isNull() | (F.col("_first.at") == F.col("_at"))
-    rows = rows.withColumn("record_type", F.when(own, "response").otherwise("revisit"))
-    return rows.withColumn("refers_to", F.when(~own, F.col("_first.id"))).drop("_sha1", "_at", "_first")
+    return rows.select(*unpacked(keep), "payload", F.when(own, "response").otherwise("revisit").alias("record_type"), F.when(~own, F.col("_first.id")).alias("refers_to"))
 
 
 def _per_task(folder: str, suffix: str) -> str:
@@ -162,7 +167,7 @@ def write_archives(typed: DataFrame, folder: str, id_col: str = "page_id", url_c
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
 
-    rows = typed.select(id_col, url_col, "payload", "record_type", "refers_to")
+    rows = typed.select(exact(id_col).alias("id"), exact(url_col).alias("url"), "payload", "record_type", "refers_to")
     return saved(rows.mapInArrow(run, "path string, records long"), "archives")
 
 

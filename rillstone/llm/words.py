@@ -1,8 +1,8 @@
 """Words, word hashes and shingles of many texts at once, in numpy.
 
-A word's hash is a polynomial over its bytes, taken from running sums, so no word
-becomes a Python object. Texts are handled as UTF-8; every class of separators used
-here lies below 0x80, so cutting bytes is cutting characters.
+A word's hash takes eight of its bytes at a time into two mixed states, for all words at
+once, so that only very long words become Python objects. Texts are handled as UTF-8;
+every class of separators used here lies below 0x80, so cutting bytes is cutting characters.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import exact, others, ready
+from .common import exact, others, packed, ready, unpacked
 
 GROUP_BYTES = 4 << 20
-SLICE_BYTES = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 #: Text of the rows that are computed and sent back at once, so that memory follows this and not a batch's rows.
 PART_BYTES = 8 << 20
 _U = np.uint64
@@ -54,21 +55,8 @@ SPACED = ~byte_class(b" \t\n\x0b\x0c\r")
 #: Words are runs of ASCII letters and digits and of all characters beyond ASCII.
 ALNUM = byte_class(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", True)
 
-_BYTE = stream(256, 1)
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C15 | 1
 _PLACES = stream(64, 2) | _U(1)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers() -> list[np.ndarray]:
-    if not _POWERS:
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(SLICE_BYTES + 1, base, _U)
-            steps[0] = 1
-            _POWERS.append(np.cumprod(steps, dtype=_U))
-    return _POWERS
+_ODD = stream(4, 3) | _U(1)
 
 
 class Words(NamedTuple):
@@ -80,9 +68,36 @@ class Words(NamedTuple):
     first: np.ndarray  # first word of each text, and the number of words at the end
 
 
+def _hashes(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each word of a buffer that has eight bytes after the last word.
+
+    Both states pass through mixed() with each eight bytes, so words collide only as
+    random numbers do, whatever regular pattern they are made of.
+    """
+    eights = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+    size = (ends - starts).astype(_U)
+    a, b = size * _ODD[0], mixed(size + _ODD[1])
+    live = np.arange(len(starts))
+    for done in range(0, LONG_WORD, 8):
+        live = live[size[live] > _U(done)]
+        if not len(live):
+            break
+        left = size[live] - _U(done)
+        x = eights[starts[live] + done]
+        short = left < _U(8)
+        x[short] &= (_U(1) << (left[short] * _U(8))) - _U(1)
+        a[live] = mixed(a[live] ^ x)
+        b[live] = mixed((b[live] + x) * _ODD[2])
+    out = mixed(a ^ (b * _ODD[3]))
+    for i in np.flatnonzero(size > _U(LONG_WORD)):
+        out[i] = int.from_bytes(hashlib.blake2b(buffer[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def words(texts: list[bytes], word: np.ndarray, fold: bool) -> Words:
     """All words of some texts. fold: A-Z count as a-z in the hashes."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    buffer = b"\n".join(texts) + b"\n" + bytes(8)
+    data = np.frombuffer(buffer, np.uint8)[:-8]
     begins = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
     inside = word[data]
@@ -90,25 +105,7 @@ def words(texts: list[bytes], word: np.ndarray, fold: bool) -> Words:
     if inside[0]:
         turns = np.concatenate(([0], turns))
     starts, ends = turns[0::2], turns[1::2]
-    hashes = np.empty(len(starts), _U)
-    up, down = _powers()
-    codes = _FOLDED if fold else _BYTE
-    i = 0
-    while i < len(starts):
-        lo = starts[i]
-        j = int(np.searchsorted(ends, lo + SLICE_BYTES, "right"))
-        if j == i:  # one word longer than a slice
-            giant = data[lo : ends[i]].tobytes()
-            hashes[i] = int.from_bytes(hashlib.blake2b(giant.lower() if fold else giant, digest_size=8).digest(), "little")
-            i += 1
-            continue
-        part = codes[data[lo : ends[j - 1]]]
-        part *= up[: len(part)]
-        sums = np.zeros(len(part) + 1, _U)
-        np.cumsum(part, out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        hashes[i:j] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93))
-        i = j
+    hashes = _hashes(buffer.lower() if fold else buffer, starts, ends)  # of bytes, lower() changes A-Z alone
     return Words(data, begins, starts, ends, hashes, np.searchsorted(starts, begins))
 
 
@@ -151,16 +148,16 @@ def parts_of(batch: pa.RecordBatch, limit: int = PART_BYTES) -> Iterator[pa.Reco
         first = after
 
 
-def with_columns_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], compute: Callable[[list[bytes | None]], list]) -> DataFrame:
+def with_columns_from_text(df: DataFrame, text_col: str, fields: list[T.StructField], compute: Callable[[list[bytes | None]], list], keep_text: bool = True) -> DataFrame:
     """df with columns that compute() makes of a batch of texts (UTF-8, null: None).
 
-    compute gives an array for each field. Columns of the new names are replaced.
+    compute gives an array for each field. Without keep_text the text doesn't come back. Columns of the new names, in any case, are
+    replaced; all others pass through in one struct, so no name of theirs can clash.
     """
     ready(df.sparkSession)
-    keep = others(df, [f.name for f in fields])
-    # The text goes last, under a name that no column can be expected to have.
-    rows = df.select(*map(exact, keep), F.col(text_col).cast("binary").alias("_text of this batch"))
-    schema = T.StructType([*rows.schema.fields[:-1], *fields])
+    keep = others(df, [f.name for f in fields] + ([] if keep_text else [text_col]))
+    rows = df.select(packed(keep), exact(text_col).cast("binary").alias("_text"))
+    schema = T.StructType([rows.schema["_row"], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -168,8 +165,8 @@ def with_columns_from_text(df: DataFrame, text_col: str, fields: list[T.StructFi
         kinds = [to_arrow_type(f.dataType) for f in fields]
         for batch in batches:
             for part in parts_of(batch):
-                made = compute(part.column(part.num_columns - 1).to_pylist())
-                arrays = [*part.columns[:-1], *[pa.array(x, k) for k, x in zip(kinds, made, strict=True)]]
+                made = compute(part.column(1).to_pylist())
+                arrays = [part.column(0), *[pa.array(x, k) for k, x in zip(kinds, made, strict=True)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*unpacked(keep), *[f.name for f in fields])

@@ -92,7 +92,7 @@ def contamination(text, items, window=13):
         for a in range(len(own) - k + 1 if own else 0):
             part = own[a : a + k]
             if " " + " ".join(part) + " " in joined:
-                found.add(str(name))
+                found |= {str(name)} - {"None"}
                 for i in at[part[0]]:
                     if w[i : i + k] == part:
                         hit.update(range(i, i + k))

@@ -65,8 +65,10 @@ def test_op4(spark):
         assert held == (zlib.crc32(str(i).encode()) % 3 == 1)
     assert rows["score"].between(0, 1).all()
     out = rows[rows["held_out"]]
-    long = truth.loc[out.index, "n_chars"] >= 100
-    assert (out["lang_pred"] == truth.loc[out.index, "lang"])[long].mean() > 0.97
+    right = out["lang_pred"] == truth.loc[out.index, "lang"]
+    assert right[truth.loc[out.index, "n_chars"] >= 100].mean() > 0.97
+    print("held out, all lengths", right.mean(), "under 100 characters", right[truth.loc[out.index, "n_chars"] < 100].mean(), (truth.loc[out.index, "n_chars"] < 100).sum())
+    assert right.mean() > 0.95
 
 
 def test_op5(spark, docs):

@@ -59,11 +59,32 @@ def test_words_match_regex():
     assert len(set(names.values())) == len(names)
 
 
-def test_a_word_longer_than_a_slice(monkeypatch):
-    monkeypatch.setattr(words, "SLICE_BYTES", 64)
-    monkeypatch.setattr(words, "_POWERS", [])
-    a = words.words([b"x" * 100 + b" yy", b"yy " + b"X" * 100], words.SPACED, fold=True)
+def test_long_words():
+    a = words.words([b"x" * 100 + b" yy", b"yy " + b"X" * 100, b"x" * 64, b"x" * 65, b"x" * 8, b"x" * 9, b"x" * 16], words.SPACED, fold=True)
     assert a.hashes[0] == a.hashes[3] and a.hashes[1] == a.hashes[2] != a.hashes[0]
+    assert len(set(a.hashes.tolist())) == 7
+
+
+def thue_morse(letters):
+    """Two different words that polynomial hashes modulo a power of two can't tell apart."""
+    t, u = "a", "b"
+    while len(t) < letters:
+        t, u = t + u, u + t
+    return t, u
+
+
+@pytest.mark.parametrize("letters", [32, 64, 1024, 4096])
+def test_regular_words_stay_apart(spark, letters):
+    t, u = thue_morse(letters)
+    docs = spark.createDataFrame([(1, t), (2, u), (3, " ".join([t] * 10 + [u] * 2)), (4, " ".join("ab"[int(c)] + x for c, x in zip("0110100110010110", [t, u] * 8, strict=True)))], "doc_id long, text string")
+    want = sorted(brute.components([tuple(r) for r in docs.collect()]))
+    assert rows_of(jaccard_join.jaccard_components(docs), "doc_id", "n_shingles", "component_id") == want and want[0][2] != want[1][2]
+    found = decontaminate.decontaminate(docs, spark.createDataFrame([(7, u)], "item_id long, text string"))
+    assert rows_of(found, "doc_id", "n_hit") == [(1, 0), (2, 1), (3, 2), (4, 0)]
+    turns = spark.createDataFrame([(1, " ".join([t, u] * 3 + [t, t, u, u, t, u])), (2, " ".join([t] * 12))], "doc_id long, text string")
+    want = [(r["doc_id"], brute.rules(r["text"])[4]) for r in turns.collect()]
+    assert rows_of(quality_forest.judge(turns, None, 1.0), "doc_id", "n_repeat_words") == want
+    assert len(set(importance.cells([t.encode(), u.encode()])[0].tolist())) == 2
 
 
 def test_parts_of_a_batch():
@@ -124,14 +145,64 @@ def test_chains_and_borders(spark):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(rows), key=repr)
 
 
+def families(seed):
+    """Rows of families of texts: near copies of several degrees, and texts about equally far from each other."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for core, own in ((60, 2), (60, 14), (90, 30), (40, 10), (50, 16)):
+        middle = fresh(core)
+        texts += [middle + fresh(rng.randrange(own // 2, own + 1)) for _ in range(60)]
+    base = fresh(80)
+    for _ in range(150):  # copies of copies, a few words changed each time
+        at = rng.randrange(len(base) - 4)
+        base = base[:at] + fresh(rng.randrange(1, 5)) + base[at + rng.randrange(1, 5) :]
+        texts.append(base)
+    rng.shuffle(texts)
+    return [(i * 31 % 1009, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("task_shingles,pivots,blocks", [(1500, 2, 2), (4000, 5, 8), (700, 12, 1)])
+def test_regions_lose_no_link(spark, monkeypatch, task_shingles, pivots, blocks):
+    monkeypatch.setattr(jaccard_join, "BLOCKS", blocks)
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 20)
+    rows = families(task_shingles)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), pivots=pivots, task_shingles=task_shingles)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(rows), key=repr)
+
+
+def test_windows_spare_overlaps(monkeypatch):
+    """The same components with and without windows, and fewer overlaps counted with them."""
+    import numpy as np
+
+    rng, base, texts = random.Random(3), [f"v{i}" for i in range(120)], []
+    for i in range(200):  # copies of copies
+        base = base[: i % 110] + [f"u{i}", f"x{rng.randrange(9)}"] + base[i % 110 + 2 :]
+        texts.append(" ".join(base).encode())
+    sets = list(jaccard_join.shingle_sets(texts))
+    size, values, n = np.array([len(s) for s in sets]), np.concatenate(sets), len(sets)
+    monkeypatch.setattr(jaccard_join, "MATCHES", 5000)
+
+    def parts(links):
+        label = list(range(n))
+        for a, b in links:
+            x, y = label[a], label[b]
+            label = [min(x, y) if v in (x, y) else v for v in label]
+        return label
+
+    for whole in (True, False):
+        one = np.zeros(n, np.int64), size, values, np.ones(n, bool), np.full(n, whole)
+        (some, counted), (all_, most) = jaccard_join.joined(*one), jaccard_join.joined(*one, radius=1.0)
+        assert parts(some) == parts(all_) and len(some) == len(all_) and counted < 0.7 * most
+
+
 def test_contamination(spark, docs, none):
     item = "three little words here now and some more to make the window long enough for thirteen"
     items = [(1, "THREE little"), (10, "x9"), (2, None), (3, "..."), (None, "one"), (4, item), (4, item), (5, "中文字符"), (6, "two words one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     more = spark.createDataFrame([(100, "so: " + item + "; " + item, "en"), (101, item[:40], "en"), (102, "three little three little three", "en")], SCHEMA)
     rows = docs.unionByName(more)
-    named = [(i, t) for i, t in items if i is not None]
-    want = sorted(((r["doc_id"], *brute.contamination(r["text"], named)) for r in rows.collect()), key=repr)
+    want = sorted(((r["doc_id"], *brute.contamination(r["text"], items)) for r in rows.collect()), key=repr)
     for block_words in (10**6, 20):
         found = decontaminate.decontaminate(rows.withColumn("spans", F.lit(1)), bench, block_words=block_words)
         got = rows_of(found.select("doc_id", "n_words", "n_hit", "items", "contaminated"), "*")
@@ -142,6 +213,62 @@ def test_contamination(spark, docs, none):
     assert {r["doc_id"]: r["t"] for r in left}[100] == "so: "  # the spans of neighbouring words are one
 
 
+NAMES = ["_t", "_at", "_part", "_rank", "_sha1", "s", "i", "a.b", "_row", "_text", "_id", "_tag", "_c", "_key", "_gone", "_v", "_salt", "_lines", "hilbert"]
+
+
+def cleaners(spark):
+    """Each operator on tables with columns (doc_id, text, lang), as a function that keeps all others."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    bench = spark.createDataFrame([(1, "THREE little"), (2, "two words one x9 more words than fit")], "item_id long, text string")
+    ids = spark.createDataFrame([(9,)], "doc_id long")
+    dims = lambda: {"lang_cell": hilbert_shards.category(F.col("lang"))}
+    return {
+        "importance": lambda d: importance.resample(importance.score(d, importance.fit(d, ids)), 5),
+        "hilbert": lambda d: hilbert_shards.shard_by_hilbert(d, dims(), [F.col("doc_id"), F.col("text")], 3),
+        "bpe": lambda d: byte_bpe.decode(byte_bpe.encode(d, path, pattern), path, pattern),
+        "lang": lambda d: lang_id.predict(d, lang_id.fit(d)),
+        "lines": lambda d: line_dedup.dedup_lines(d, max_broadcast=0),
+        "jaccard": lambda d: jaccard_join.jaccard_components(d),
+        "forest": lambda d: quality_forest.judge(d, None, 1.0),
+        "warc": lambda d: warc.with_record_types(d, id_col="doc_id", html_col="text", max_broadcast=0),
+        "contamination": lambda d: decontaminate.decontaminate(d, bench),
+        "contamination in blocks": lambda d: decontaminate.decontaminate(d, bench, block_words=3),
+    }
+
+
+@pytest.mark.parametrize("name", ["importance", "hilbert", "bpe", "lang", "lines", "jaccard", "forest", "warc", "contamination", "contamination in blocks"])
+def test_columns_of_any_name_stay(spark, docs, name):
+    run = cleaners(spark)[name]
+    keep = [c for c in NAMES if name != "hilbert" or c != "hilbert"]
+    wide = docs.withColumns({c: F.concat(F.lit(c + " of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in keep})
+    plain, rich = run(docs), run(wide)
+    new = [c for c in plain.columns if c not in docs.columns]
+    assert set(rich.columns) == set(plain.columns) | set(keep)
+    assert rich.filter(" or ".join(f"`{c}` is null or `{c}` <> concat('{c} of ', coalesce(string(doc_id), 'none'))" for c in keep)).count() == 0
+    assert rich.count() == len(ROWS)
+    if name not in ("hilbert", "warc"):  # these tell equal rows apart by where they are
+        assert rows_of(rich, "doc_id", *new) == rows_of(plain, "doc_id", *new)
+
+
+def test_bytes_that_are_no_utf8(spark):
+    broken = spark.range(3).select(F.col("id").alias("doc_id"), F.expr("cast(unhex('616263FF20C328') || encode(repeat(' some words more', 9), 'utf-8') as string)").alias("text"), F.lit("en").alias("lang"))
+    for name, run in cleaners(spark).items():
+        assert run(broken).count() == 3, name
+    assert bytes(cleaners(spark)["bpe"](broken).first()["decoded"]).startswith("abc\ufffd \ufffd(".encode())
+
+
+def test_spans_of_several_blocks(spark):
+    """Two items whose windows overlap in the text, each in a block of its own, leave one span."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "c d"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "b c d e"), (2, "d e f"), (3, "a"), (None, "h"), (4, "zz")], "item_id long, text string")
+    for words_ in (1, 4, 1000):
+        got = decontaminate.decontaminate(docs, bench, block_words=words_).orderBy("doc_id").collect()
+        assert [(r["n_words"], r["n_hit"], r["items"]) for r in got] == [(8, 7, ["1", "2", "3"]), (2, 0, []), (0, 0, [])]
+        assert [tuple(x) for x in got[0]["spans"]] == [(0, 11, 0, 6), (14, 15, 7, 8)]
+
+
 def test_suffixes_and_search():
     import numpy as np
 
@@ -225,6 +352,130 @@ def test_importance(spark, docs, none):
     assert not importance.fit(none, ids).any()
 
 
+def test_importance_weights_are_the_models_ratio(spark):
+    """Against plain Python that counts words and pairs by themselves."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["good", "fine", "Bad", "so", "is", "it"]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    target = {i for i, t in enumerate(texts) if t.count("good") > t.count("Bad")}
+
+    def grams(t):
+        w = [x.lower() for x in t.split()]
+        return w + list(zip(w, w[1:], strict=False))
+
+    raw, good = Counter(), Counter()
+    for i, t in enumerate(texts):
+        raw.update(grams(t))
+        if i in target:
+            good.update(grams(t))
+    total, share = sum(raw.values()) + importance.BUCKETS, sum(good.values())
+
+    def weight(g):
+        expected = (raw[g] + 1) / total * share
+        z2 = (good[g] - expected) ** 2 / (expected + 1)
+        return math.log((good[g] + 1) / (expected + 1)) * z2 / (z2 + 100)
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ratios = importance.fit(docs, spark.createDataFrame([(i,) for i in target], "doc_id long"))
+    for r in importance.score(docs, ratios).collect():
+        assert r["log_weight"] == pytest.approx(sum(map(weight, grams(r["text"]))), abs=1e-9)
+    assert (ratios != 0).sum() >= len(raw)
+
+
+def test_importance_samples_in_proportion(spark):
+    """Of many rows few are drawn, those of twice the weight about twice as often; the noise is Gumbel's."""
+    import math
+
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, math.log(2.0)).otherwise(0.0).alias("log_weight"))
+    got = importance.resample(rows, 2000)
+    assert got.filter("kept").count() == 2000
+    twice = got.filter("kept and doc_id % 2 = 0").count() / 2000
+    assert abs(twice - 2 / 3) < 0.04
+    mean, spread = got.agg(F.avg(F.col("gumbel_key") - F.col("log_weight")), F.var_pop(F.col("gumbel_key") - F.col("log_weight"))).first()
+    assert abs(mean - 0.5772) < 0.03 and abs(spread - math.pi**2 / 6) < 0.06
+
+
+def test_forest_scores_are_mean_path_lengths():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (200, 3)), [[9, 9, 9]]])
+    forest = quality_forest.Forest(x[:-1], x.min(axis=0), x.max(axis=0), trees=10, tree_rows=64)
+
+    def mean_depth(n):
+        return 0 if n < 2 else 1 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+    def path(tree, row):
+        feature, threshold, left, value = tree
+        at, steps = 0, 0
+        while feature[at] >= 0:
+            at = left[at] + (row[feature[at]] > threshold[at])
+            steps += 1
+        assert value[at] >= steps  # what a leaf holds counts as the mean depth of a tree over its rows
+        return value[at]
+
+    want = [2 ** (-np.mean([path(t, row) for t in forest.trees]) / mean_depth(64)) for row in x]
+    assert np.allclose(forest.score(x), want) and forest.score(x).argmax() == len(x) - 1
+
+
+def test_regression_by_hand():
+    """The learner's weights against a plain-Python follow-the-regularised-leader."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(40):
+        cells = np.sort(rng.choice(30, 6, replace=False))
+        x = rng.random(6)
+        rows.append(((cells, x / np.sqrt((x * x).sum())), int(cells[0] % 3)))
+    model = lang_id.Model(["a", "b", "c"], np.ones(lang_id.BUCKETS))
+    lang_id.learn(model, rows, seed=1)
+    order = np.random.default_rng(1)
+    aside = order.permutation(len(rows))
+    seen, z, n = aside[8:], {}, {}
+
+    def weight(i, k):
+        own = z.get((i, k), 0.0)
+        return 0.0 if abs(own) <= lang_id.L1 else -(own - math.copysign(lang_id.L1, own)) / ((lang_id.BETA + math.sqrt(n.get((i, k), 0.0))) / lang_id.ALPHA + lang_id.L2)
+
+    for _ in range(lang_id.EPOCHS):
+        for r in order.permutation(seen):
+            (cells, x), lang = rows[r]
+            pairs = [*zip(map(int, cells), map(float, x), strict=True), (-1, 1.0)]
+            w = {(i, k): weight(i, k) for i, _ in pairs for k in range(3)}
+            e = [math.exp(sum(v * w[i, k] for i, v in pairs)) for k in range(3)]
+            for i, v in pairs:
+                for k in range(3):
+                    g = v * (e[k] / sum(e) - (k == lang))
+                    old = n.get((i, k), 0.0)
+                    n[i, k] = old + g * g
+                    z[i, k] = z.get((i, k), 0.0) + g - (math.sqrt(n[i, k]) - math.sqrt(old)) / lang_id.ALPHA * w[i, k]
+    for i in range(30):
+        assert np.allclose(model.weights[i], [weight(i, k) for k in range(3)], atol=1e-9)
+    assert np.allclose(model.bias, [weight(-1, k) for k in range(3)], atol=1e-9) and 0.05 <= model.temperature <= 20
+
+
+def test_shards_as_files(spark, docs, tmp_path):
+    """A reader of one cell opens the files of its shards alone and finds all of its rows."""
+    many = spark.range(4000).select((F.col("id") % 1000).alias("doc_id"), (F.col("id") % 23).cast("string").alias("lang"), F.repeat(F.lit("x"), (F.col("id") % 400).cast("int")).alias("text"))
+    dims = {"lang_cell": hilbert_shards.category(F.col("lang")), "size_cell": hilbert_shards.magnitude(F.length("text"))}
+    sharded = hilbert_shards.shard_by_hilbert(many, dims, [F.col("doc_id"), F.col("text")], 64)
+    hilbert_shards.write_shards(sharded, list(dims), str(tmp_path / "shards"))
+    every = spark.read.parquet(str(tmp_path / "shards" / "data"))
+    wanted = {"lang_cell": every.first()["lang_cell"], "size_cell": every.first()["size_cell"]}
+    got = hilbert_shards.read_cells(spark, str(tmp_path / "shards"), wanted)
+    same = " and ".join(f"{c} = {v}" for c, v in wanted.items())
+    assert got.count() == every.filter(same).count() > 0
+    assert len(got.inputFiles()) < len(every.inputFiles()) / 3
+    assert hilbert_shards.read_cells(spark, str(tmp_path / "shards"), {"lang_cell": 99}).count() == 0
+
+
 def test_shards(spark, docs, none):
     dims = {"a": hilbert_shards.category(F.col("lang")), "b": hilbert_shards.magnitude(F.octet_length("text")), "c": F.lit(3)}
     for n in (1, 3, 8, 100):
@@ -264,6 +515,10 @@ def test_chats(spark):
         assert r["loss"] == "".join(x for role, x in own if role == "assistant")
     assert {r["conv_id"] for r in back} == {1, 2, 3, None}
     assert chat_format.format_chats(df.limit(0)).count() == 0
+    n = 2000  # turns enough for many parts of the running position
+    long = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    r = chat_format.format_chats(long).select(chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.size("loss_spans").alias("n")).first()
+    assert r["loss"] == "".join(f"t{i}" for i in range(n) if i % 3) and r["n"] == sum(i % 3 > 0 for i in range(n))
 
 
 def test_warc(spark, tmp_path):
