@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import state
 from ..plans import transactions as txn
+from ..sources import scratch
 
 #: Fixed initial values of the shared tables.
 GS_INITIAL, SL_INITIAL, OB_INITIAL_QTY = 100, 10_000, 100
@@ -32,25 +30,33 @@ def word_count(docs: DataFrame) -> DataFrame:
 def running_word_count(docs: DataFrame, block: int = 1000) -> DataFrame:
     """(doc_id, pos, word, cnt): how often the word has come, in the order of documents and positions.
 
-    A word's rows are cut into blocks of `block` consecutive doc_ids.
+    Words are gathered once, as their positions in each document; what is added up beyond a
+    document is a number for each word and document. A word's documents are cut into blocks of
+    `block` consecutive doc_ids, so that a common word spreads over tasks.
     """
-    words = split_words(docs).withColumn("_one", F.lit(1))
-    counted = state.prefix_sum(words, ["word"], ["doc_id", "pos"], "_one", "_before", block=block)
-    return counted.select("doc_id", "pos", "word", (F.col("_before") + 1).alias("cnt"))
+    places = split_words(docs).groupBy("word", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("_at"))
+    places = scratch.written(places.withColumn("_n", F.size("_at").cast("long")), "words")
+    counted = state.prefix_sum(places, ["word"], "doc_id", "_n", "_before", block=block)
+    return counted.select("doc_id", F.posexplode("_at").alias("_nth", "pos"), "word", "_before").select("doc_id", "pos", "word", (F.col("_before") + F.col("_nth") + 1).alias("cnt"))
 
 
 # Grep and sum
 
 
-def gs_ops(events: DataFrame, abort_enabled: bool = True) -> DataFrame:
-    """Reads and writes on single keys, `seen` being the key's value before the operation."""
+def gs_ops(events: DataFrame, abort_enabled: bool = True, n_keys: int | None = None) -> DataFrame:
+    """Reads and writes on single keys, `seen` being the key's value before the operation.
+
+    With n_keys, operations on keys beyond 0 to n_keys - 1 are left out, and only they.
+    """
     ops = txn.key_ops(txn.valid(events, txn.gs_aborts(), abort_enabled), "keys", "values")
+    if n_keys is not None:
+        ops = txn.on_known_keys(ops, n_keys)
     ops = ops.withColumn("delta", F.when(F.col("is_read"), 0).otherwise(F.col("values_op")))
     return state.prefix_sum(ops, ["key"], "bid", "delta", "_sum").withColumn("seen", F.col("_sum") + GS_INITIAL)
 
 
-def gs_read_sum(events: DataFrame, abort_enabled: bool = True) -> DataFrame:
-    return gs_ops(events, abort_enabled).filter("is_read").groupBy("bid").agg(F.sum("seen").cast("long").alias("read_sum"))
+def gs_read_sum(events: DataFrame, abort_enabled: bool = True, n_keys: int | None = None) -> DataFrame:
+    return gs_ops(events, abort_enabled, n_keys).filter("is_read").groupBy("bid").agg(F.sum("seen").cast("long").alias("read_sum"))
 
 
 def gs_write_result(events: DataFrame) -> DataFrame:
@@ -94,26 +100,39 @@ def sl_initial(spark: SparkSession, n_keys: int) -> DataFrame:
     return spark.range(n_keys).select(F.col("id").alias("key"), start.alias("account"), start.alias("asset"))
 
 
-def sl_run(events: DataFrame, n_keys: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Epochs whose events share a folder.
+EPOCHS_A_FOLDER = 256
+
+
+def sl_run(events: DataFrame, n_keys: int, balances: DataFrame | None = None, with_results: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(transfer results, balances at the start of each epoch, final balances).
 
     An epoch needs the balances that the one before left, so epochs run one after
-    another; each leaves its balances in a checkpoint, which cuts the lineage. Their
-    number is that of events over the epoch's size, which the caller chooses.
+    another. Events are written once, sorted into folders of a few epochs; an epoch reads its own
+    rows there and writes its results and balances, so neither plans nor scans grow with
+    the epochs. balances, of which n_keys is the number of keys if there are none, stand before the first.
     """
     spark = events.sparkSession
-    balances, results, starts = sl_initial(spark, n_keys), [], []
-    for (epoch,) in sorted(events.select("epoch").distinct().collect()):
-        starts.append(balances.withColumn("epoch", F.lit(epoch)))
-        moved, after = sl_epoch(events.filter(F.col("epoch") == epoch), balances)
-        results.append(moved)
-        balances = after.checkpoint()
-    union = lambda frames, empty: _union(frames) if frames else empty
+    out = scratch.fresh(spark, "ledger")
+    start = sl_initial(spark, n_keys) if balances is None else balances.select("key", "account", "asset")
+    named = events.withColumn("of", F.floor(F.col("epoch") / EPOCHS_A_FOLDER))
+    named.repartition("of").sortWithinPartitions("of", "epoch").write.partitionBy("of").parquet(f"{out}/events")
+    kept = spark.read.parquet(f"{out}/events")
+    now, keys = start, start.schema
+    for (epoch,) in sorted(kept.select("epoch").distinct().collect()):
+        now.write.parquet(f"{out}/balances/epoch={epoch}")
+        now = spark.read.schema(keys).parquet(f"{out}/balances/epoch={epoch}")
+        own = spark.read.schema(events.schema).parquet(f"{out}/events/of={epoch // EPOCHS_A_FOLDER}").filter(F.col("epoch") == epoch)
+        moved, now = sl_epoch(own, now)
+        if with_results:
+            moved.write.parquet(f"{out}/results/epoch={epoch}")
+    now.write.parquet(f"{out}/final")
+    starts = f"{out}/balances"
     none = sl_initial(spark, 0)
     return (
-        union(results, none.select(F.col("key").alias("bid"), F.col("account").alias("v1"), F.col("account").alias("v2"))),
-        union(starts, none.withColumn("epoch", F.lit(0).cast("long"))).select("epoch", "key", "account", "asset"),
-        balances,
+        spark.read.parquet(f"{out}/results").select("bid", "v1", "v2") if scratch.names(spark, f"{out}/results") else none.select(F.col("key").alias("bid"), F.col("account").alias("v1"), F.col("account").alias("v2")),
+        (spark.read.parquet(starts) if scratch.names(spark, starts) else none.withColumn("epoch", F.lit(0))).select(F.col("epoch").cast("long").alias("epoch"), "key", "account", "asset"),
+        spark.read.schema(keys).parquet(f"{out}/final"),
     )
 
 
@@ -131,55 +150,56 @@ def ob_initial(spark: SparkSession, n_keys: int) -> DataFrame:
     return spark.range(n_keys).select(F.col("id").alias("item"), (F.col("id") * 37 % 100).alias("price"), F.lit(OB_INITIAL_QTY).cast("long").alias("qty"))
 
 
-_FOLDED = "key long, bid long, idx int, kind string, price long, qty long, ok boolean"
-
-
-def ob_fold(events: DataFrame, n_keys: int) -> DataFrame:
+def ob_fold(events: DataFrame, goods: DataFrame) -> DataFrame:
     """Every operation with the price and quantity it leaves and whether it succeeded.
 
-    A buy depends on what all earlier ones left, which no window says. Keys are sorted
-    within partitions and walked through in batches with one key's state in hand, so a
-    long key takes time but no memory. A row of kind `start` opens each key.
+    goods: (item, price, qty) before the first event. A buy depends on what all earlier ones left, which
+    no window says, so each key is folded row by row. A row of kind `start`, with a null bid,
+    opens each key; operations on items that aren't among the goods are left out.
     """
-    ops = txn.key_ops(txn.valid(events, txn.ob_aborts()), "items").select("key", "bid", "idx", "kind", "price", "qty")
-    start = ob_initial(events.sparkSession, n_keys).select(F.col("item").alias("key"), F.lit(0).cast("long").alias("bid"), F.lit(0).alias("idx"), F.lit("start").alias("kind"), "price", "qty")
-    rows = start.unionByName(ops).repartition("key").sortWithinPartitions("key", "bid", "idx")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        price = left = 0
-        for batch in batches:
-            prices, lefts, oks = [], [], []
-            for kind, p, q in zip(batch["kind"], batch["price"], batch["qty"], strict=True):
-                ok = True
-                if kind == "start":
-                    price, left = p, q
-                elif kind == "alert":
-                    price = p
-                elif kind == "topping":
-                    left += q
-                elif p > price and q < left:
-                    left -= q
-                else:
-                    ok = False
-                prices.append(price), lefts.append(left), oks.append(ok)
-            yield batch.assign(price=prices, qty=lefts, ok=oks)
-
-    return rows.mapInPandas(walk, _FOLDED)
-
-
-def ob_event_result(events: DataFrame, n_keys: int) -> DataFrame:
+    ops = txn.key_ops(txn.valid(events, txn.ob_aborts()), "items").select("key", "bid", "idx", "kind", F.col("price").alias("p"), F.col("qty").alias("q"))
+    start = goods.select(F.col("item").alias("key"), F.lit(None).cast("long").alias("bid"), F.lit(0).alias("idx"), F.lit("start").alias("kind"), F.col("price").alias("p"), F.col("qty").alias("q"))
+
+    def step(now, kind, p, q):
+        if kind == "start":
+            return (p, q), (p, q, True)
+        if now is None:
+            return None, (None, None, None)
+        price, left = now
+        ok = kind != "buy" or (p > price and q < left)
+        if kind == "alert":
+            price = p
+        elif kind == "topping":
+            left += q
+        elif ok:
+            left -= q
+        return (price, left), (price, left, ok)
+
+    folded = state.serial_fold(start.unionByName(ops), ["key"], [F.col("bid"), F.col("idx")], ["kind", "p", "q"], "price long, qty long, ok boolean", step)
+    return folded.filter(F.col("ok").isNotNull()).drop("p", "q")
+
+
+def ob_results(folded: DataFrame, events: DataFrame) -> DataFrame:
     """(bid, kind, result): 1 if the event did all it asked for, 0 if not or aborted. Partial buys stay."""
-    done = ob_fold(events, n_keys).filter("kind <> 'start'").groupBy("bid", "kind").agg(F.min("ok").alias("ok"))
+    done = folded.filter("kind <> 'start'").groupBy("bid", "kind").agg(F.min("ok").alias("ok"))
     failed = events.filter(txn.ob_aborts()).select("bid", "kind", F.lit(0.0).alias("result"))
     return done.select("bid", "kind", F.col("ok").cast("double").alias("result")).unionByName(failed)
 
 
-def ob_final_goods(events: DataFrame, n_keys: int) -> DataFrame:
-    last = F.struct("bid", "idx", "price", "qty")
-    final = ob_fold(events, n_keys).groupBy("key").agg(F.max(last).alias("l"))
+def ob_goods(folded: DataFrame) -> DataFrame:
+    """(item, price, qty) after the last operation."""
+    final = folded.groupBy("key").agg(F.max(F.struct("bid", "idx", "price", "qty")).alias("l"))
     return final.select(F.col("key").alias("item"), "l.price", "l.qty")
 
 
+def ob_event_result(events: DataFrame, n_keys: int) -> DataFrame:
+    return ob_results(ob_fold(events, ob_initial(events.sparkSession, n_keys)), events)
+
+
+def ob_final_goods(events: DataFrame, n_keys: int) -> DataFrame:
+    return ob_goods(ob_fold(events, ob_initial(events.sparkSession, n_keys)))
+
+
 # Toll processing
 
 
@@ -189,16 +209,21 @@ def tp_state(events: DataFrame) -> DataFrame:
     return state.running_distinct(state.running_halving_average(ok, "seg", "bid", "speed", "avg_speed"), "seg", "vid", "bid", "cnt")
 
 
+def toll_formula(speed=None, cnt=None):
+    """50 for each unit of speed, times the square of the vehicles beyond 50."""
+    flat = (F.col("avg_speed") if speed is None else speed) * 50
+    over = (F.col("cnt") if cnt is None else cnt) - 50
+    return F.when(over <= 0, flat).otherwise(flat * over * over)
+
+
 def _toll(events: DataFrame, formula) -> DataFrame:
     failed = events.filter(txn.tp_aborts()).select("bid", F.lit(-1.0).alias("toll"))
     return tp_state(events).select("bid", formula.alias("toll")).unionByName(failed)
 
 
 def tp_toll(events: DataFrame) -> DataFrame:
-    """(bid, toll): 50 for each unit of speed, times the square of the vehicles beyond 50; -1 on abort."""
-    flat = F.col("avg_speed") * 50
-    over = F.col("cnt") - 50
-    return _toll(events, F.when(over <= 0, flat).otherwise(flat * over * over))
+    """(bid, toll) of all reports; -1 on abort."""
+    return _toll(events, toll_formula())
 
 
 def tp_conventional_toll(events: DataFrame) -> DataFrame:

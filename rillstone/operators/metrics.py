@@ -34,3 +34,8 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
 
 def tumbling(events: DataFrame, ts: str, width: str, *by: str) -> DataFrame:
     return events.groupBy(F.window(ts, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("cnt")).select(F.col("w.start").alias("started"), *by, "cnt")
+
+
+def sliding(events: DataFrame, ts: str, width: str, slide: str, *by: str) -> DataFrame:
+    """(started, by, cnt): an event counts in each window that it falls into."""
+    return events.groupBy(F.window(ts, width, slide).alias("w"), *by).agg(F.count(F.lit(1)).alias("cnt")).select(F.col("w.start").alias("started"), *by, "cnt")

@@ -1,11 +1,22 @@
-"""What a lost partition costs: who depends on it, and what a local rollback gets wrong."""
+"""What a lost partition costs, and how its tables come back.
+
+Schemes differ in what they keep and what they run again: a log of changes over a snapshot
+(`changes`, `redo`); a snapshot and all input since (replaying an application from its
+snapshot, see queries.py); a snapshot of the partitions that depend on the lost one and
+their input (`dependent_keys`); the lost partition alone, with what its transactions had read
+elsewhere taken from a log (`determinants`, `ledger_with_determinants`); or the lost partition
+alone, which loses what others had written to it (`local_rollback`).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import transactions as txn
 from ..plans.transactions import partition_of
+from ..sources import scratch
+from . import apps
 
 
 def dependency_edges(events: DataFrame, n_keys: int, partitions: int) -> DataFrame:
@@ -41,3 +52,83 @@ def local_rollback(events: DataFrame, failed_after: int, lost: int, n_keys: int,
     ops = packed.select("bid", "is_read", "idx", F.col("_op.keys").alias("key"), F.col("_op.values").alias("delta"), "_first")
     gone = (partition_of(F.col("key"), n_keys, partitions) == lost) & (partition_of(F.col("_first"), n_keys, partitions) != lost) & (F.col("bid") <= failed_after)
     return ops.filter(~gone).drop("_first")
+
+
+# A log of changes over a snapshot
+
+
+def changes(writes: DataFrame, before: DataFrame, n_keys: int) -> DataFrame:
+    """(epoch, key, value): what each epoch left in the keys that it changed, the log of a run.
+
+    writes: (epoch, key, delta); before: (key, value). Sums of epochs are added up per key, a
+    row for each key and epoch.
+    """
+    sums = txn.on_known_keys(writes, n_keys).groupBy("key", "epoch").agg(F.sum("delta").alias("delta"))
+    so_far = F.sum("delta").over(Window.partitionBy("key").orderBy("epoch"))
+    return sums.join(before, "key").select("epoch", "key", (F.col("value") + so_far).alias("value"))
+
+
+def redo(snapshot: DataFrame, log: DataFrame, last_epoch: int) -> DataFrame:
+    """(key, value) of a snapshot after the log up to an epoch: the latest logged value, or the snapshot's own."""
+    latest = log.filter(F.col("epoch") <= last_epoch).groupBy("key").agg(F.max_by("value", "epoch").alias("_new"))
+    return snapshot.join(latest, "key", "left").select("key", F.coalesce("_new", "value").alias("value"))
+
+
+# Partitions that depend on the lost one
+
+
+def dependent_keys(events: DataFrame, lost: int, n_keys: int, partitions: int) -> DataFrame:
+    """(pid): partitions to roll back if one is lost, by the keys that transactions since the snapshot share."""
+    touched = events.select(F.array_sort(F.array_distinct(F.transform("keys", lambda k: partition_of(k, n_keys, partitions)))).alias("p"))
+    pairs = touched.select(F.explode("p").alias("src"), "p").select("src", F.explode("p").alias("dst")).filter("src <> dst").distinct()
+    return dependency_closure(pairs, partitions).filter(F.col("lost") == lost).select(F.col("affected").alias("pid"))
+
+
+def rolled_back(current: DataFrame, snapshot: DataFrame, events: DataFrame, lost: int, n_keys: int, partitions: int) -> DataFrame:
+    """(key, value) after partition `lost` was lost and came back with all that depends on it.
+
+    current: the table as it was, of which partition `lost` can't be read; snapshot: the table
+    before `events`. Affected partitions start from the snapshot and run the transactions that
+    touch them again; all others keep what they have.
+    """
+    affected = [r["pid"] for r in dependent_keys(events, lost, n_keys, partitions).collect()]  # of `partitions` at most
+    mine = partition_of(F.col("key"), n_keys, partitions).isin(affected)
+    ops = txn.key_ops(txn.valid(events, txn.gs_aborts()).filter(~F.col("is_read")), "keys", "values").filter(mine)
+    sums = ops.groupBy("key").agg(F.sum("values_op").alias("delta"))
+    again = snapshot.filter(mine).join(sums, "key", "left").select("key", (F.col("value") + F.coalesce("delta", F.lit(0))).alias("value"))
+    return current.filter(~mine).select("key", "value").unionByName(again)
+
+
+# The lost partition alone, with a log of what it had read elsewhere
+
+
+def determinants(events: DataFrame, starts: DataFrame, n_keys: int, partitions: int) -> DataFrame:
+    """(bid, account, asset): the balances that transfers between partitions saw at their source.
+
+    starts: (epoch, key, account, asset) at the start of each epoch.
+    """
+    moves = txn.valid(events, txn.sl_aborts()).filter(F.col("kind") == "transfer")
+    apart = moves.filter(partition_of(F.col("src"), n_keys, partitions) != partition_of(F.col("tgt"), n_keys, partitions))
+    return apart.join(starts.withColumnRenamed("key", "src"), ["epoch", "src"]).select("bid", "account", "asset")
+
+
+def ledger_with_determinants(events: DataFrame, snapshot: DataFrame, log: DataFrame, lost: int, n_keys: int, partitions: int) -> DataFrame:
+    """(key, account, asset) of partition `lost`, from its snapshot and the input since, without any other partition.
+
+    Events that reach the partition from others bring a logged balance of their source.
+    """
+    mine = lambda c: partition_of(F.col(c), n_keys, partitions) == lost
+    ok = txn.valid(events, txn.sl_aborts()).filter(mine("src") | F.coalesce(mine("tgt"), F.lit(False)))
+    own = snapshot.filter(mine("key"))
+    # Epoch by epoch, as within an epoch transfers between own keys see its start.
+    now = own.select("key", "account", "asset")
+    ok = scratch.written(ok.join(log.withColumnRenamed("account", "_a").withColumnRenamed("asset", "_b"), "bid", "left"), "input")
+    for (epoch,) in sorted(ok.select("epoch").distinct().collect()):
+        batch = ok.filter(F.col("epoch") == epoch)
+        logged = batch.filter(F.col("_a").isNotNull() & mine("tgt")).select(F.col("tgt").alias("key"), (F.col("amount") + F.col("_a") * 0.1).cast("long").alias("da"), (F.col("amount") + F.col("_b") * 0.1).cast("long").alias("db"))
+        paid = batch.filter(F.col("_a").isNotNull() & mine("src")).select(F.col("src").alias("key"), (-F.col("amount")).alias("da"), (-F.col("amount")).alias("db"))
+        _, after = apps.sl_epoch(batch.filter(F.col("_a").isNull()).drop("_a", "_b"), now)
+        sums = logged.unionByName(paid).groupBy("key").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+        after = after.join(sums, "key", "left").select("key", (F.col("account") + F.coalesce("da", F.lit(0))).alias("account"), (F.col("asset") + F.coalesce("db", F.lit(0))).alias("asset"))
+        now = scratch.written(after, "epoch")
+    return now

@@ -32,6 +32,17 @@ def all_tasks(df: DataFrame) -> DataFrame:
 
 
 def partial_key_sum(df: DataFrame, key: str, value: str, salts: int = 16) -> DataFrame:
-    """(key, total): sums in two steps, a hot key's rows over several tasks first."""
-    some = df.withColumn("_salt", F.floor(F.rand(1) * salts)).groupBy(key, "_salt").agg(F.sum(value).alias("_part"))
+    """(key, total): sums in two steps, a hot key's rows over several tasks first.
+
+    A row's salt is a hash of the row, so that a task that runs again deals its rows alike.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts))
+    some = df.select(key, value, salt.alias("_salt")).groupBy(key, "_salt").agg(F.sum(value).alias("_part"))
     return some.groupBy(key).agg(F.sum("_part").alias("total"))
+
+
+def one_task(df: DataFrame) -> DataFrame:
+    """All rows in one task, for tables of at most MAX_EVERYWHERE rows; larger ones are refused."""
+    if df.limit(MAX_EVERYWHERE + 1).count() > MAX_EVERYWHERE:
+        raise ValueError(f"more than {MAX_EVERYWHERE} rows are too many for one task")
+    return df.repartition(1)

@@ -47,6 +47,11 @@ def key_ops(events: DataFrame, keys: str, *values: str) -> DataFrame:
     return out.drop("_op")
 
 
+def on_known_keys(ops: DataFrame, n_keys: int) -> DataFrame:
+    """Operations on keys that there are; one on a missing key is dropped, and it alone."""
+    return ops.filter((F.col("key") >= 0) & (F.col("key") < n_keys))
+
+
 def partition_of(key: Column, n_keys: int, partitions: int) -> Column:
     """Range partition of a key: key div ceil(n / partitions)."""
     return F.floor(key / -(-n_keys // partitions))

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import state
+from .functions import state, text
 from .operators import accuracy, apps, metrics, recovery
 from .plans import routing
 from .plans import transactions as txn
-from .sources import generators, tables, text_events
+from .sources import generators, scratch, tables, text_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,20 +32,10 @@ def _ob(spark, sf_dir):
 
 
 def _sl(spark, sf_dir):
-    _checkpoints(spark)
     ev, n = _streams(spark, sf_dir)
     return tables.sl_events(ev), n
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says, or to a temporary folder where it says nothing."""
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rillstone-"))
-
-
 def _tp(spark, sf_dir):
     return tables.tp_events(tables.app_events(spark, sf_dir), SEGMENTS)
 
@@ -103,6 +93,89 @@ def key_partition_histogram(spark, sf_dir):
     return ev.groupBy(txn.partition_of(F.col("user_id"), n, PARTITIONS).alias("pid")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+#: The last bid before the snapshot that recoveries start from, and the partition that is lost.
+SNAPSHOT_BID, LOST = 5000, 3
+
+
+def recovery_log_gs(spark, sf_dir):
+    """Counters from the snapshot of the first epoch and the log of all later ones."""
+    ev, n = _streams(spark, sf_dir)
+    writes = txn.key_ops(txn.valid(tables.gs_events(ev), txn.gs_aborts()).filter(~F.col("is_read")), "keys", "values").select("epoch", "key", F.col("values_op").alias("delta"))
+    first = tables.micro_table(spark, n).select("key", text.stored_number(F.col("value")).alias("value"))
+    log = scratch.written(recovery.changes(writes, first, n), "log")
+    return recovery.redo(recovery.redo(first, log, 0), log.filter("epoch > 0"), 1 << 62)
+
+
+def recovery_dependency_gs(spark, sf_dir):
+    """Counters after partition LOST was lost and it and all that depends on it ran again from the snapshot."""
+    ev, n = _streams(spark, sf_dir)
+    gs = tables.gs_events(ev)
+    before, since = gs.filter(F.col("bid") <= SNAPSHOT_BID), gs.filter(F.col("bid") > SNAPSHOT_BID)
+    gone = txn.partition_of(F.col("key"), n, PARTITIONS) == LOST
+    current = apps.gs_final_state(gs, n).withColumn("value", F.when(~gone, F.col("value")))
+    return recovery.rolled_back(current, apps.gs_final_state(before, n), since, LOST, n, PARTITIONS)
+
+
+def recovery_replay_ob(spark, sf_dir):
+    """Goods from the snapshot and all input since, run again."""
+    events, n = _ob(spark, sf_dir)
+    snapshot = apps.ob_goods(apps.ob_fold(events.filter(F.col("bid") <= SNAPSHOT_BID), apps.ob_initial(spark, n)))
+    return apps.ob_goods(apps.ob_fold(events.filter(F.col("bid") > SNAPSHOT_BID), scratch.written(snapshot, "snapshot")))
+
+
+def recovery_determinants_sl(spark, sf_dir):
+    """Balances after partition LOST alone ran again from a snapshot, with logged balances of other partitions."""
+    events, n = _sl(spark, sf_dir)
+    _, starts, final = apps.sl_run(events, n, with_results=False)
+    epoch = (starts.agg(F.max("epoch")).first()[0] or 0) // 2
+    since = events.filter(F.col("epoch") >= epoch)
+    log = scratch.written(recovery.determinants(since, starts, n, PARTITIONS), "determinants")
+    own = recovery.ledger_with_determinants(since, starts.filter(F.col("epoch") == epoch), log, LOST, n, PARTITIONS)
+    return final.filter(txn.partition_of(F.col("key"), n, PARTITIONS) != LOST).unionByName(own)
+
+
+def gs_stored_values(spark, sf_dir):
+    """Final counters as the text that a table stores, and as numbers read back from it."""
+    stored = gs_final_state(spark, sf_dir).select("key", text.right_pad(F.col("value")).alias("stored"))
+    return stored.select("key", "stored", text.stored_number(F.col("stored")).alias("value"))
+
+
+def position_reports(spark, sf_dir):
+    """Position reports as text lines, parsed again."""
+    ev = tables.app_events(spark, sf_dir)
+    fields = [F.col("bid") * 7, F.col("user_id"), F.col("cents") % 100, F.lit(0), F.col("bid") % 5, F.col("bid") % 2, F.col("user_id") % 100, F.col("cents")]
+    back = text_events.parse_positions(ev.select(F.concat_ws(" ", *[f.cast("string") for f in fields]).alias("value")))
+    return back.select("time", "vid", "speed", "seg", "pos", "minute", "on_exit_lane", text_events.road_is_full(F.col("speed"), F.col("vid")).alias("is_full"))
+
+
+def event_text_types(spark, sf_dir):
+    """Events of all other types as text lines, parsed again: who, which keys, and what amount."""
+    ev = tables.app_events(spark, sf_dir)
+    zeros, item = F.array(F.lit(0), F.lit(0)).cast("array<bigint>"), lambda c: F.array(c, c)
+    sl, ob, tp = tables.sl_events(ev), tables.ob_events(ev), tables.tp_events(ev, SEGMENTS)
+
+    def lines(rows, kind, **fields):
+        head = {"bid": F.col("bid"), "pid": F.lit(0), "bid_array": zeros, "num_p": F.lit(2), "event_type": F.lit(kind)}
+        return rows.select(*[c.alias(n) for n, c in (head | fields | {"ts": F.col("bid") + 1000, "is_abort": F.lit(False)}).items()])
+
+    amount, two = F.col("amount"), F.lit(2)
+    made = [
+        ("DepositEvent", lines(sl.filter("kind = 'deposit'"), "DepositEvent", account=F.col("src"), book=F.col("src"), acct_delta=amount, book_delta=amount), F.col("account").cast("long"), F.col("acct_delta")),
+        ("TransactionEvent", lines(sl.filter("kind = 'transfer'"), "TransactionEvent", src_acct=F.col("src"), src_book=F.col("src"), tgt_acct=F.col("tgt"), tgt_book=F.col("tgt"), acct_x=amount, book_x=amount), F.col("src_acct").cast("long"), F.col("book_x")),
+        ("BuyingEvent", lines(ob.filter("kind = 'buy'"), "BuyingEvent", items=F.col("items"), bid_prices=item(F.col("price")), bid_qtys=item(F.col("qty"))), F.get("items", F.lit(1)), F.get("bid_qtys", F.lit(1))),
+        ("AlertEvent", lines(ob.filter("kind = 'alert'"), "AlertEvent", num_access=two, items=F.col("items"), ask_prices=item(F.col("price"))), F.get("items", F.lit(1)), F.get("ask_prices", F.lit(0))),
+        ("ToppingEvent", lines(ob.filter("kind = 'topping'"), "ToppingEvent", num_access=two, items=F.col("items"), top_ups=item(F.col("qty"))), F.get("items", F.lit(1)), F.get("top_ups", F.lit(0))),
+        ("TollProcessEvent", lines(tp, "TollProcessEvent", segments=F.array("seg"), speed=F.col("speed"), vid=F.col("vid")), F.get("segments", F.lit(0)), F.col("speed")),
+    ]
+    back = [text_events.parse(text_events.serialise(rows, kind), kind).select("bid", "event_type", key.cast("long").alias("key"), value.cast("long").alias("amount"), "ts") for kind, rows, key, value in made]
+    return apps._union(back)
+
+
+def sliding_window_counts(spark, sf_dir):
+    ev = tables.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return metrics.sliding(ev, "ts", "6 hours", "2 hours", "event_type").withColumn("started", F.col("started").cast("string"))
+
+
 def partition_dependency_closure(spark, sf_dir):
     """Over all transfers."""
     ev, n = _streams(spark, sf_dir)
@@ -187,8 +260,16 @@ QUERIES: dict[str, Query] = {
     "ob_final_goods": lambda s, d: apps.ob_final_goods(*_ob(s, d)),
     "sl_deposit_result": lambda s, d: apps.sl_deposit_result(_sl(s, d)[0]),
     "sl_epoch_transfer_result": lambda s, d: apps.sl_run(*_sl(s, d))[0],
-    "sl_epoch_balances": lambda s, d: apps.sl_run(*_sl(s, d))[1],
-    "sl_final_balances": lambda s, d: apps.sl_run(*_sl(s, d))[2],
+    "sl_epoch_balances": lambda s, d: apps.sl_run(*_sl(s, d), with_results=False)[1],
+    "sl_final_balances": lambda s, d: apps.sl_run(*_sl(s, d), with_results=False)[2],
+    "recovery_log_gs": recovery_log_gs,
+    "recovery_dependency_gs": recovery_dependency_gs,
+    "recovery_replay_ob": recovery_replay_ob,
+    "recovery_determinants_sl": recovery_determinants_sl,
+    "gs_stored_values": gs_stored_values,
+    "position_reports": position_reports,
+    "event_text_types": event_text_types,
+    "sliding_window_counts": sliding_window_counts,
     "abort_counts": abort_counts,
     "state_degradation_gs": state_degradation_gs,
     "state_degradation_rollback": state_degradation_rollback,
@@ -325,10 +406,26 @@ SELECT {_ERR} AS error, count(*) AS rows FROM a JOIN b USING (bid)""",
     "mean_latency_by_type": "SELECT event_type, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS total, count(*) AS cnt, round(avg(CAST(round(value * 100) AS BIGINT)), 6) AS mean FROM events GROUP BY event_type",
     "key_partition_histogram": f"WITH {_EV} SELECT user_id // ceil((SELECT n FROM nk) / 16.0)::BIGINT AS pid, count(*) AS cnt FROM ev GROUP BY 1",
     "partition_dependency_closure": f"""WITH RECURSIVE {_EV},
-e AS (SELECT user_id // ceil((SELECT n FROM nk) / 16.0)::BIGINT AS a, k2 // ceil((SELECT n FROM nk) / 16.0)::BIGINT AS b FROM ev WHERE t = 'purchase' AND cents % 10 > 0 AND bid <= 200),
+e AS (SELECT user_id // ceil((SELECT n FROM nk) / 16.0)::BIGINT AS a, k2 // ceil((SELECT n FROM nk) / 16.0)::BIGINT AS b FROM ev WHERE t = 'purchase' AND cents % 10 > 0),
 g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 c(lost, affected) AS (SELECT i, i FROM (SELECT unnest(range(16)) AS i) UNION SELECT c.lost, g.b FROM c JOIN g ON g.a = c.affected)
 SELECT DISTINCT lost, affected FROM c""",
+    "recovery_log_gs": f"WITH {_GS} " + _gs_final("d >= 0"),
+    "recovery_dependency_gs": f"WITH {_GS} " + _gs_final("d >= 0"),
+    "recovery_replay_ob": f"WITH RECURSIVE {_OB} SELECT key AS item, arg_max(price, r) AS price, arg_max(qty, r) AS qty FROM fold GROUP BY key",
+    "recovery_determinants_sl": f"WITH RECURSIVE {_SL} SELECT key, a AS account, b AS asset FROM st WHERE ep = (SELECT max(ep) + 1 FROM eps)",
+    "gs_stored_values": f"WITH {_GS}, f AS ({_gs_final('d >= 0')}) SELECT key, rpad(value::VARCHAR, greatest(32, length(value::VARCHAR))::INT, ' ') AS stored, value FROM f",
+    "position_reports": f"""WITH {_EV} SELECT bid * 7 AS time, user_id::INT AS vid, (cents % 100)::INT AS speed, (user_id % 100)::SMALLINT AS seg, cents::INT AS pos,
+  bid * 7 // 60 + 1 AS minute, bid % 5 = 4 AS on_exit_lane, cents % 100 < 40 AND user_id > 50 AS is_full FROM ev""",
+    "event_text_types": f"""WITH {_EV}, x AS (
+  SELECT bid, CASE WHEN t = 'purchase' THEN 'TransactionEvent' ELSE 'DepositEvent' END AS event_type, user_id AS key,
+         CASE WHEN t = 'purchase' THEN cents % 10 WHEN t = 'error' THEN -1 ELSE 500 + cents % 1000 END AS amount FROM ev
+  UNION ALL SELECT bid, CASE t WHEN 'signup' THEN 'AlertEvent' WHEN 'error' THEN 'ToppingEvent' ELSE 'BuyingEvent' END, k2,
+         CASE WHEN (bid - 1) % 10 = 0 THEN -1 WHEN t = 'signup' THEN cents % 100 ELSE (bid - 1) % 20 END FROM ev
+  UNION ALL SELECT bid, 'TollProcessEvent', user_id % 100, 120 + cents % 331 FROM ev)
+SELECT bid, event_type, key, amount, bid + 1000 AS ts FROM x""",
+    "sliding_window_counts": """WITH w AS (SELECT event_type, time_bucket(INTERVAL '2 hours', ts::TIMESTAMP, TIMESTAMP '1970-01-01') - INTERVAL '2 hours' * k AS s FROM events, range(3) r(k))
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS started, event_type, count(*) AS cnt FROM w GROUP BY 1, 2""",
     "event_text_roundtrip": f"WITH {_GS} SELECT bid, user_id::INT AS k1, k2::INT AS k2, d::INT AS v1, rd AS is_read, NOT rd AND d < 0 AS is_abort FROM gse",
     "result_text": f"SELECT bid || ';' || read_sum || ',' AS value FROM ({_gs_reads('rd OR d >= 0')})",
     "latest_version": f"WITH {_GS}, f AS (SELECT bid, rd, user_id AS key FROM gse WHERE rd OR d >= 0), s AS (SELECT *, max(CASE WHEN NOT rd THEN bid END) OVER (PARTITION BY key ORDER BY bid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS version FROM f) SELECT bid, key, version FROM s WHERE rd",

@@ -5,6 +5,8 @@ All randomness is a hash of the bid and a seed, so rows don't depend on partitio
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +23,40 @@ def zipf_pmf(spark: SparkSession, size: int, skew: float) -> DataFrame:
     return weights.select("rank", (F.col("w") / total).alias("p"))
 
 
+#: Ranks whose shares are added up one by one; beyond them sums follow a formula.
+HEAD = 64
+
+
+def _tail_sum(k: Column, skew: float, constant: float) -> Column:
+    """1 / 1^skew + .. + 1 / k^skew for k of HEAD at least, by the Euler-Maclaurin formula."""
+    area = F.log(k) if abs(skew - 1) < 1e-9 else F.pow(k, F.lit(1 - skew)) / (1 - skew)
+    return constant + area + F.pow(k, F.lit(-skew)) / 2 - skew * F.pow(k, F.lit(-skew - 1)) / 12 + skew * (skew + 1) * (skew + 2) * F.pow(k, F.lit(-skew - 3)) / 720
+
+
 def zipf_key(u: Column, size: int, skew: float) -> Column:
-    """A key of 0 to size - 1, most often 0, by the inverse of the distribution's integral.
+    """A key of 0 to size - 1 with chances in proportion to 1 / (key + 1)^skew, for u spread over [0, 1).
 
-    No table of ranks is needed, so the key domain may be of any size.
+    The inverse of the sums of all shares: those of the first HEAD ranks stand in the
+    expression, later ones follow from a formula that is right to the double's
+    last digits, so the key domain may be of any size.
     """
-    if abs(skew - 1) < 1e-9:
-        x = F.exp(u * F.log(F.lit(float(size + 1))))
-    else:
-        a = 1 - skew
-        x = F.pow(u * (float(size + 1) ** a - 1) + 1, F.lit(1 / a))
-    return F.least(F.floor(x) - 1, F.lit(size - 1)).cast("int")
+    head, total = [], 0.0
+    for i in range(1, min(size, HEAD) + 1):
+        total += i**-skew
+        head.append(total)
+    if size <= HEAD:
+        t = u * total
+        return F.least(sum((F.when(t >= x, 1).otherwise(0) for x in head), F.lit(0)), F.lit(size - 1)).cast("int")
+    area = lambda x: math.log(x) if abs(skew - 1) < 1e-9 else x ** (1 - skew) / (1 - skew)
+    formula = lambda k: area(k) + k**-skew / 2 - skew * k ** (-skew - 1) / 12 + skew * (skew + 1) * (skew + 2) * k ** (-skew - 3) / 720
+    constant = total - formula(float(HEAD))
+    t = u * (constant + formula(float(size)))
+    # The area up to k + 1/2 is about the sum up to k; the ranks around settle the rest.
+    x = F.exp(t - constant) if abs(skew - 1) < 1e-9 else F.pow(F.greatest((t - constant) * (1 - skew), F.lit(1e-300)), F.lit(1 / (1 - skew)))
+    near = F.least(F.greatest(F.floor(x).cast("double"), F.lit(HEAD + 2.0)), F.lit(float(size))) - 2
+    tail = near - 1 + sum((F.when(t >= _tail_sum(near + j, skew, constant), 1).otherwise(0) for j in range(5)), F.lit(0))
+    first = sum((F.when(t >= c, 1).otherwise(0) for c in head), F.lit(0))
+    return F.least(F.when(t < total, first).otherwise(tail), F.lit(size - 1)).cast("int")
 
 
 def transactions(spark: SparkSession, events: int, keys: int, accesses: int = 2, skew: float = 0.4, read_ratio: float = 0.75, abort_ratio: float = 0.1, seed: str = "txn") -> DataFrame:

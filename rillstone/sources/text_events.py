@@ -16,6 +16,8 @@ FIELDS = {
     "MicroEvent": {"keys": "array<int>", "values": "array<int>", "is_read": "boolean", "ts": "bigint", "is_abort": "boolean"},
     "TollProcessEvent": {"segments": "array<int>", "speed": "int", "vid": "int", "ts": "bigint", "is_abort": "boolean"},
 }
+#: The exit lane, the least toll, the mean speed below which and the cars above which a road counts as full.
+EXIT_LANE, BASE_TOLL, FULL_BELOW_SPEED, FULL_ABOVE_CARS = 4, 20, 40, 50
 POSITION = {"time": "bigint", "vid": "int", "speed": "int", "xway": "int", "lane": "smallint", "dir": "smallint", "seg": "smallint", "pos": "int"}
 
 
@@ -42,7 +44,12 @@ def parse_positions(lines: DataFrame, value: str = "value") -> DataFrame:
     """Position reports with their minute; blank lines are left out."""
     parts = F.split(F.trim(F.col(value)), " +")
     rows = lines.filter(F.trim(F.col(value)) != "").select(*[F.get(parts, F.lit(i)).try_cast(k).alias(c) for i, (c, k) in enumerate(POSITION.items())])
-    return rows.withColumn("minute", F.floor(F.col("time") / 60) + 1).withColumn("on_exit_lane", F.col("lane") == 4)
+    return rows.withColumn("minute", F.floor(F.col("time") / 60) + 1).withColumn("on_exit_lane", F.col("lane") == EXIT_LANE)
+
+
+def road_is_full(mean_speed: Column, cars: Column) -> Column:
+    """Whether a segment is slow and crowded."""
+    return (mean_speed < FULL_BELOW_SPEED) & (cars > FULL_ABOVE_CARS)
 
 
 def result_lines(results: DataFrame, values: list[str], key: str = "bid") -> DataFrame:

@@ -191,6 +191,51 @@ def test_zipf_keys_follow_their_distribution(spark):
     assert abs(got[10] - p[11]) < 0.01
 
 
+@pytest.mark.parametrize("size,skew", [(1, 0.4), (5, 0.9), (64, 0.4), (65, 0.4), (1000, 0.4), (1000, 1.0), (3000, 1.7), (3000, 0.0), (200_000, 0.4)])
+def test_zipf_keys_are_the_exact_inverse(spark, size, skew):
+    """Every rank begins and ends where the sums of the shares say."""
+    weights = [i**-skew for i in range(1, size + 1)]
+    total, at, cuts = math.fsum(weights), 0.0, []
+    for i in range(0, size, max(1, size // 5000)):
+        at = math.fsum(weights[:i]) if size <= 5000 else at
+        cuts.append((i, at / total, weights[i] / total))
+        if size > 5000:
+            at += math.fsum(weights[i : i + max(1, size // 5000)])
+    rows_ = spark.createDataFrame(cuts, "rank long, low double, p double")
+    for share in (0.001, 0.5, 0.999):
+        got = rows_.select("rank", generators.zipf_key(F.col("low") + F.col("p") * share, size, skew).alias("k"))
+        assert got.filter("rank <> k").count() == 0
+    assert spark.range(1).select(generators.zipf_key(F.lit(1 - 2**-52), size, skew).alias("k")).first()["k"] == size - 1
+
+
+def fold(values):
+    out, now = [], 0.0
+    for v in values:
+        now = now if v is None else v if now == 0 else (now + v) / 2
+        out.append(now)
+    return out
+
+
+@pytest.mark.parametrize("make", [
+    lambda r, i: 1e300 if i == 0 else 1e-10,
+    lambda r, i: r.choice([0.0, 0.0, 1e-300, 5.0, 1e300, None]),
+    lambda r, i: 0.0 if 10 < i < 9000 else float(r.randrange(400)),
+    lambda r, i: r.choice([-1.0, 1.0, -1e200, 1e200, 0.25]),
+])
+def test_halving_averages_look_back_on_everything(spark, make):
+    rng = random.Random(4)
+    values = [make(rng, i) for i in range(10_000)]
+    df = spark.createDataFrame([(k, i, v) for i, v in enumerate(values) for k in ((1,) if i > 300 else (1, None))], "k long, o long, v double").repartition(5)
+    for block in (3000, 10**6):
+        got = {(r["k"], r["o"]): r["a"] for r in state.running_halving_average(df, "k", "o", "v", "a", block=block).collect()}
+        want = {(1, i): x for i, x in enumerate(fold(values))} | {(None, i): x for i, x in enumerate(fold(values[:301]))}
+        assert set(got) == set(want)
+        for at, x in want.items():
+            assert got[at] == pytest.approx(x, rel=1e-12, abs=0.0)
+    last = {r["k"]: r["a"] for r in state.final_halving_average(df, "k", "o", "v", "a").collect()}
+    assert last[1] == pytest.approx(fold(values)[-1], rel=1e-12, abs=0.0) and set(last) == {1, None}
+
+
 def test_spikes_and_sessions(spark):
     ev = spark.createDataFrame([(1, i, 100) for i in range(20)] + [(1, 20, 500)], "k long, o long, v long")
     assert rows(metrics.spikes(ev, "k", "o", "v").filter("is_spike"), "o") == [(20,)]
@@ -198,6 +243,172 @@ def test_spikes_and_sessions(spark):
     assert rows(metrics.sessions(ts, "k", "t", "30 minutes"), "cnt") == [(1,), (2,)]
 
 
+def started_again(spark, events, tmp_path, initial, step, **more):
+    """The folder of a stream that was stopped and started anew after each quarter of the events."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    last = events.agg(F.max("bid")).first()[0]
+    for part in range(4):
+        events.filter((F.col("bid") > part * last // 4) & (F.col("bid") <= (part + 1) * last // 4)).coalesce(1).write.mode("append").parquet(source)
+        streams.run_epochs(spark.readStream.schema(events.schema).parquet(source), initial, step, folder, **more).awaitTermination()
+    return folder
+
+
+def test_bidding_stream(spark, tmp_path):
+    ob = generators.ob_workload(generators.transactions(spark, 400, 10))
+    folder = started_again(spark, ob, tmp_path, apps.ob_initial(spark, 10), streams.ob_step, keep_inputs=True)
+    assert rows(streams.results(spark, folder), "bid", "kind", "result") == rows(apps.ob_event_result(ob, 10), "bid", "kind", "result")
+    assert rows(streams.state(spark, folder), "item", "price", "qty") == rows(apps.ob_final_goods(ob, 10), "item", "price", "qty")
+    # What a failure took comes back from the inputs; old states are gone.
+    again = streams.replay(spark, folder, apps.ob_initial(spark, 10), streams.ob_step)
+    assert rows(again, "item", "price", "qty") == rows(apps.ob_final_goods(ob, 10), "item", "price", "qty")
+    from rillstone.sources import scratch
+
+    assert scratch.names(spark, f"{folder}/state") == ["batch=2", "batch=3"]
+
+
+def test_toll_stream(spark, tmp_path):
+    tp = generators.tp_workload(generators.transactions(spark, 2400, 6))
+    none = spark.createDataFrame([], streams.TP_STATE)
+    folder = started_again(spark, tp, tmp_path, none, streams.tp_step)
+    want = {r["bid"]: r["toll"] for r in apps.tp_toll(tp).collect()}
+    got = {r["bid"]: r["toll"] for r in streams.results(spark, folder).collect()}
+    assert set(got) == set(want) and max(want.values()) > 20_000
+    for bid, toll in want.items():
+        assert got[bid] == pytest.approx(toll, rel=1e-12)
+    held = streams.state(spark, folder)
+    assert held.filter("vid is not null").count() == sum(r["cnt"] for r in apps.tp_segment_count(tp).collect())
+
+
+def test_ledger_stream_with_punctuation(spark, tmp_path):
+    """Epochs of 50 bids within micro-batches of 100 give what epochs of 50 give in one run."""
+    sl = generators.sl_workload(generators.transactions(spark, 400, 10))
+    folder = started_again(spark, sl, tmp_path, apps.sl_initial(spark, 10), streams.punctuated(streams.sl_step, 50))
+    results, _, final = apps.sl_run(sl.withColumn("epoch", F.floor((F.col("bid") - 1) / 50)), 10)
+    assert rows(streams.results(spark, folder), "bid", "v1", "v2") == rows(results, "bid", "v1", "v2")
+    assert rows(streams.state(spark, folder), "key", "account", "asset") == rows(final, "key", "account", "asset")
+
+
+def test_word_count_stream(spark, tmp_path):
+    docs = spark.range(1, 41).select(F.col("id").alias("bid"), F.col("id").alias("doc_id"), F.concat(F.lit("a w"), F.col("id") % 7, F.lit(" w"), F.col("id") % 3).alias("text"))
+    folder = started_again(spark, docs, tmp_path, spark.createDataFrame([], "word string, cnt long"), streams.word_count_step)
+    assert rows(streams.state(spark, folder), "word", "cnt") == rows(apps.word_count(docs), "word", "cnt")
+
+
+def test_readers_see_committed_batches_only(spark, tmp_path):
+    gs = generators.gs_workload(generators.transactions(spark, 400, 10))
+    initial = spark.range(10).select(F.col("id").alias("key"), F.lit(100).cast("long").alias("value"))
+    folder = started_again(spark, gs, tmp_path, initial, streams.gs_step)
+    whole = streams.results(spark, folder).count()
+    spark.range(5).select(F.col("id").alias("bid"), F.col("id").alias("read_sum")).write.parquet(f"{folder}/results/batch=4")  # of a batch that failed
+    assert streams.committed(spark, folder) == [0, 1, 2, 3] and streams.results(spark, folder).count() == whole
+
+
+def test_bidding_in_keyed_state(spark, tmp_path):
+    """Items in RocksDB, with a restart in between, against the batch run."""
+    kept = {c: spark.conf.get(c, None) for c in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")}
+    ob = generators.ob_workload(generators.transactions(spark, 300, 8))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    streams.use_changelogs(spark)
+    try:
+        for part in range(3):
+            ob.filter((F.col("bid") > part * 100) & (F.col("bid") <= part * 100 + 100)).coalesce(1).write.mode("append").parquet(source)
+            done = streams.bidding_by_item(spark.readStream.schema(ob.schema).parquet(source))
+            done.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for c, v in kept.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    folded = spark.read.parquet(out)
+    want = apps.ob_fold(ob, apps.ob_initial(spark, 8)).filter("kind <> 'start'")
+    assert rows(folded, "bid", "idx", "key", "price", "qty", "ok") == rows(want, "bid", "idx", "key", "price", "qty", "ok")
+    assert rows(apps.ob_results(folded, ob), "bid", "result") == rows(apps.ob_event_result(ob, 8), "bid", "result")
+
+
+def test_missing_items_and_early_bids(spark):
+    """An operation on an item that isn't there is dropped alone; bids may be 0 or less."""
+    ev = spark.createDataFrame([(-5, "buy", [0, 7], 60, 20), (0, "alert", [1], 5, 0), (3, "buy", [7], 60, 1)], OB)
+    folded = apps.ob_fold(ev, apps.ob_initial(spark, 2))
+    assert rows(apps.ob_results(folded, ev), "bid", "result") == [(-5, 1.0), (0, 1.0)]
+    assert rows(apps.ob_goods(folded), "item", "price", "qty") == [(0, 0, 80), (1, 5, 100)]
+    gs = spark.createDataFrame([(1, 0, [1, 9], [5, 5], False), (2, 0, [1, 9], [0, 0], True)], GS)
+    assert rows(apps.gs_read_sum(gs, n_keys=4), "bid", "read_sum") == [(2, 105)]
+
+
+def test_recoveries_against_undisturbed_runs(spark, tmp_path):
+    n, parts = 24, 6
+    # Keys of three groups of partitions that never meet, so that some don't depend on the lost one.
+    txns = generators.transactions(spark, 600, n).withColumn("keys", F.transform("keys", lambda k: (k % 8 + F.col("bid") % 3 * 8).cast("int"))).filter(F.get("keys", F.lit(0)) != F.get("keys", F.lit(1)))
+    gs = generators.gs_workload(txns).withColumn("epoch", F.floor((F.col("bid") - 1) / 100))
+    before, since, final = gs.filter("bid <= 300"), gs.filter("bid > 300"), apps.gs_final_state(gs, n)
+    assert rows(recovery.dependent_keys(since, 1, n, parts), "pid") == [(0,), (1,)]
+    current = final.withColumn("value", F.when(txn.partition_of(F.col("key"), n, parts) != 1, F.col("value")))
+    assert rows(recovery.rolled_back(current, apps.gs_final_state(before, n), since, 1, n, parts), "key", "value") == rows(final, "key", "value")
+    first = spark.range(n).select(F.col("id").alias("key"), F.lit(100).cast("long").alias("value"))
+    log = recovery.changes(txn.key_ops(txn.valid(gs, txn.gs_aborts()).filter("not is_read"), "keys", "values").select("epoch", "key", F.col("values_op").alias("delta")), first, n)
+    for epoch in (0, 2, 5):
+        want = apps.gs_final_state(gs.filter(F.col("epoch") <= epoch), n)
+        assert rows(recovery.redo(first, log, epoch), "key", "value") == rows(want, "key", "value")
+    sl = generators.sl_workload(generators.transactions(spark, 600, n)).withColumn("epoch", F.floor((F.col("bid") - 1) / 100))
+    _, starts, final = apps.sl_run(sl, n)
+    late = sl.filter("epoch >= 2")
+    log = recovery.determinants(late, starts, n, parts)
+    for lost in (0, 3):
+        own = recovery.ledger_with_determinants(late, starts.filter("epoch = 2"), log, lost, n, parts)
+        assert rows(own, "key", "account", "asset") == rows(final.filter(txn.partition_of(F.col("key"), n, parts) == lost), "key", "account", "asset")
+
+
+def test_store_of_tables(spark, tmp_path):
+    from rillstone.sources import tables
+
+    store = tables.Store(spark, str(tmp_path / "store"))
+    first = tables.micro_table(spark, 3)
+    store.create("counters", first)
+    assert all(len(r["value"]) == 32 for r in store.read("counters").collect())
+    with pytest.raises(ValueError):
+        store.create("counters", first)
+    store.insert("counters", spark.createDataFrame([(1, "7"), (9, "8")], "key long, value string"))
+    assert [(k, v.strip()) for k, v in rows(store.read("counters"), "key", "value")] == [(0, "100"), (1, "7"), (2, "100"), (9, "8")]
+    assert store.read("counters", version=0).count() == 3 and store.versions("counters") == [0, 1]
+    store.clean("counters")
+    assert store.versions("counters") == [1]
+    store.drop("counters")
+    with pytest.raises(KeyError):
+        store.read("counters")
+    assert rows(tables.segment_speed(spark, 1), "key", "value") == [("0", 0.0)] and tables.segment_cnt(spark, 2).first()["value"] == []
+
+
+def test_text_values(spark):
+    from rillstone.functions import text
+
+    df = spark.createDataFrame([("ab",), ("x" * 40,), (" 12 ",), (None,)], "v string")
+    got = [r["p"] for r in df.select(text.right_pad(F.col("v")).alias("p")).collect()]
+    assert got == ["ab".ljust(32), "x" * 40, " 12 ".ljust(32), None]
+    assert [r["n"] for r in df.select(text.stored_number(F.col("v")).alias("n")).collect()] == [None, None, 12, None]
+    assert df.select(text.padded_words(F.lit("a bcd  e"), 3).alias("w")).first()["w"] == "axx bcd  exx"
+    assert text.workload_name({"b": 1, "a": 2}) == text.workload_name({"a": 2, "b": 1}) != text.workload_name({"a": 2, "b": 2})
+    assert df.select(text.row_hash("v").alias("h")).distinct().count() == 4
+    assert spark.range(1).select(text_events.road_is_full(F.lit(39), F.lit(51)).alias("f")).first()["f"] is True
+
+
+def test_progress_log_and_timed_trigger(spark, tmp_path):
+    import time
+
+    log = streams.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+        docs.write.parquet(str(tmp_path / "in"))
+        query = streams.run_epochs(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), spark.createDataFrame([], "word string, cnt long"), streams.word_count_step, str(tmp_path / "out"), {"processingTime": "1 second"})
+        query.processAllAvailable()
+        query.stop()
+        for _ in range(100):
+            if log.progress:
+                break
+            time.sleep(0.1)
+        assert log.report()["events"] >= 1
+    finally:
+        spark.streams.removeListener(log)
+
+
 def test_streams_match_batches_and_go_on_after_a_stop(spark, tmp_path):
     txns = generators.transactions(spark, 400, 10)
     gs = generators.gs_workload(txns)
@@ -282,3 +493,6 @@ def test_groupings(spark):
     assert rows(ranges.groupBy("pid").agg(F.min("k").alias("a"), F.max("k").alias("b")), "pid", "a", "b") == [(0, 0, 2), (1, 3, 5), (2, 6, 6)]
     assert rows(routing.partial_key_sum(df, "k", "v"), "k", "total") == rows(df.groupBy("k").agg(F.sum("v").alias("total")), "k", "total")
     assert df.join(routing.all_tasks(df.select("k").distinct()), "k").count() == 100
+    assert routing.one_task(df).rdd.getNumPartitions() == 1
+    with pytest.raises(ValueError):
+        routing.one_task(spark.range(routing.MAX_EVERYWHERE + 1))

@@ -15,9 +15,11 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
         if df[c].dtype == object:
-            df[c] = df[c].map(lambda v: None if v is None else str(v))
+            df[c] = df[c].map(lambda v: None if v is None or v is pd.NA or v != v else str(v))
         elif str(df[c].dtype).startswith("float"):
             df[c] = df[c].round(9)
+        elif str(df[c].dtype) in ("Int64", "Int32"):  # whole numbers with nulls, as toPandas() gives them as doubles
+            df[c] = df[c].astype("float64")
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
