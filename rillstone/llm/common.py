@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch as files
+
 #: Rows of an Arrow batch: Spark's setting, its default, and ours.
 BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -28,21 +29,10 @@ def ready(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), PACKAGE_ROOT) if x)
     if spark.conf.get(BATCH_ROWS[0], BATCH_ROWS[1]) == BATCH_ROWS[1]:
         spark.conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
-    if not _checkpoint_dir(spark):
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rillstone-"))
+    files.folder(spark)
     return spark
 
 
-def _checkpoint_dir(spark: SparkSession) -> str | None:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return own.get() if own.isDefined() else None
-
-
 def exact(name: str) -> Column:
     """A column by its whole name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -75,17 +65,32 @@ def bucket_labels(spark: SparkSession, n: int) -> list[int]:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder, not yet created."""
-    ready(spark)
-    return f"{_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return files.fresh(ready(spark), name)
+
+
+_PASSING: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that saved() writes inside are removed at the end, but for those to keep."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            files.remove(spark, path)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows of df, written once to shared storage and read again.
 
     Cuts lineage: a lost executor costs the task it ran, not the stages before.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
+    if _PASSING and not keep:
+        _PASSING[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exact, others, packed, ranked, saved, unpacked
+from .common import exact, others, packed, passing, ranked, saved, unpacked
 
 BITS = 5
 N_SHARDS = 8
@@ -26,9 +26,9 @@ def category(col: Column, bits: int = BITS) -> Column:
 
 
 def magnitude(col: Column, bits: int = BITS) -> Column:
-    """Quantise a size by its logarithm, in half octaves; null and sizes below 1 have cell 0."""
-    steps = F.floor(F.log2(F.greatest(col.cast("double"), F.lit(1.0))) * 2 * (1 << bits) / 64).cast("int")
-    return F.coalesce(F.least(steps, F.lit((1 << bits) - 1)), F.lit(0))
+    """Quantise a whole number by its octave, fewer bits by several octaves at once; null and numbers below 1 have cell 0."""
+    octave = F.length(F.bin(F.greatest(col.cast("long"), F.lit(1)))) - 1
+    return F.coalesce(F.least(F.floor(octave / max(1, 32 >> bits)).cast("int"), F.lit((1 << bits) - 1)), F.lit(0))
 
 
 def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
@@ -89,9 +89,10 @@ def shard_by_hilbert(df: DataFrame, dims: dict[str, Column], ties: list[Column],
     cells, by = [f"_d{i}" for i in range(len(dims))], [f"_t{i}" for i in range(len(ties))]
     rows = df.select(packed(keep), *[e.alias(c) for e, c in zip(dims.values(), cells, strict=True)], *[t.alias(c) for t, c in zip(ties, by, strict=True)])
     # Written once: the range partitioning reads its input twice, and the index is dear.
-    rows = saved(rows.withColumn("_h", hilbert_index([F.col(c) for c in cells], bits)), "curve")
-    placed = ranked(rows, [F.col("_h"), *map(F.col, by)])
-    small, larger = divmod(rows.count(), n_shards)  # the first `larger` shards have one row more
+    with passing(df.sparkSession):
+        rows = saved(rows.withColumn("_h", hilbert_index([F.col(c) for c in cells], bits)), "curve")
+        placed = ranked(rows, [F.col("_h"), *map(F.col, by)])
+        small, larger = divmod(rows.count(), n_shards)  # the first `larger` shards have one row more
     edge = larger * (small + 1)
     rank = F.col("_rank")
     head = F.floor(rank / (small + 1)).cast("int")

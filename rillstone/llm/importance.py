@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import exact, others, packed, ranked, ready, saved, unpacked
+from .common import exact, others, packed, passing, ranked, ready, saved, unpacked
 from .words import SPACED, grouped, mixed, windows, with_columns_from_text, words
 
 BUCKETS = 1 << 18
@@ -119,7 +119,8 @@ def op1_importance(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     known = saved(labelled(spark.read.parquet(f"{sf_dir}/labels.parquet")), "target")
     n, good = known.agg(F.count(F.lit(1)), F.sum(F.col("good").cast("long"))).first()
-    # Written once: range partitioning reads its input twice.
-    weighed = saved(score(docs, fit(docs, known.filter("good").select("doc_id"))).select("doc_id", "log_weight"), "weighed")
-    total = weighed.count()
-    return resample(weighed, round(total * (good or 0) / n) if n else total).select("doc_id", "log_weight", "gumbel_key", "kept")
+    ratios = fit(docs, known.filter("good").select("doc_id"))
+    with passing(spark):  # written once: range partitioning reads its input twice
+        weighed = saved(score(docs, ratios).select("doc_id", "log_weight"), "weighed")
+        total = weighed.count()
+        return resample(weighed, round(total * (good or 0) / n) if n else total).select("doc_id", "log_weight", "gumbel_key", "kept")

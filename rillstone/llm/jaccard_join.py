@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_labels, exact, others, packed, ready, saved, unpacked
+from .common import bucket_labels, exact, others, packed, passing, ready, saved, unpacked
 from .words import SPACED, grouped, mixed, windows, with_columns_from_text, words
 
 SHINGLE = 5
@@ -215,7 +215,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(now)
     while before[0]:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Written, so that the join below is one of two shuffles, of which Spark splits a hot node's.
+        least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
@@ -551,13 +552,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keep = [c for c in others(df, new) if c != text_col]
     rows = df.select(packed(keep), exact(id_col).alias("_id"), exact(text_col).alias("_t"))
     # Without the text: the sketches are read several times, the text twice.
-    marked = saved(sketches(rows, "_t", k, keep_text=False), "sketches")
+    marked = saved(sketches(rows, "_t", k, keep_text=False), "sketches", keep=True)
     known = marked.filter(F.col("_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = saved(known.groupBy("_tag", "n_shingles").agg(F.min("_id").alias("_rep")), "classes")
+    classes = saved(known.groupBy("_tag", "n_shingles").agg(F.min("_id").alias("_rep")), "classes", keep=True)
     usable = rows.select("_id", "_t").filter(F.col("_id").isNotNull())
-    chosen = saved(survivors(usable, classes, "_t", k, bucket_rows), "survivors")
-    sets = saved(sets_of(usable, chosen, "_id", "_t", k, max_broadcast), "sets")
-    found = joined_classes(sets, pivots, max_broadcast, task_shingles)
+    with passing(df.sparkSession):
+        chosen = saved(survivors(usable, classes, "_t", k, bucket_rows), "survivors")
+        sets = saved(sets_of(usable, chosen, "_id", "_t", k, max_broadcast), "sets")
+        found = saved(joined_classes(sets, pivots, max_broadcast, task_shingles), "found", keep=True)
     named = classes.join(found, "_tag", "left").select("_tag", "n_shingles", "_rep", F.coalesce("c", "_tag").alias("_c"))
     least = named.groupBy("_c").agg(F.min("_rep").alias("component_id"))
     named = named.join(least, "_c").select("_tag", "n_shingles", "_c", "component_id")
@@ -570,3 +572,17 @@ def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents under links of at least 75 % of five-word shingles."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM dw, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+either AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM reach r JOIN either e ON e.x = r.b)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id
+FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import exact, ready, saved
+from .common import exact, passing, ready, saved
 from .words import mixed, with_columns_from_text
 
 BUCKETS = 1 << 15
@@ -180,6 +180,16 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         return Model([], idf)
     # A row is taken if its hash is in its language's share of the hashes.
     share = df.sparkSession.createDataFrame([(r["_lang"], min(1.0, rows_per_lang / r["n"])) for r in sizes], "_lang string, _share double")
+    with passing(df.sparkSession):
+        sample = _sample(rows, share, max_rows, max_cells)
+    model = Model(sorted({r["_lang"] for r in sample}), idf)
+    place = {x: i for i, x in enumerate(model.langs)}
+    learn(model, [(vector((np.frombuffer(r["_cells"], "<i4"), np.frombuffer(r["_counts"], "<i4")), idf), place[r["_lang"]]) for r in sample])
+    return model
+
+
+def _sample(rows: DataFrame, share: DataFrame, max_rows: int, max_cells: int) -> list:
+    """Rows (_id, _lang, _cells, _counts) to learn from, in a set order."""
     u = F.pmod(F.xxhash64(F.lit("lang_id"), "_id"), F.lit(1 << 30)) / float(1 << 30)
     # Ids first, at most max_rows; their texts stay where they are and only their cells go to the driver.
     ids = rows.select("_id", "_lang").filter(F.col("_id").isNotNull()).join(F.broadcast(share), "_lang").filter(u < F.col("_share"))  # max_rows languages at most
@@ -197,11 +207,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     order = Window.orderBy(F.xxhash64(F.lit("lang_id"), "_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
     within = sizes.withColumn("_sum", F.sum("_n").over(order)).filter(F.col("_sum") <= max_cells).select("_id")
     sample = packed.join(F.broadcast(within), "_id", "left_semi").collect()
-    sample = list({(r["_id"], r["_lang"]): r for r in sorted(sample, key=lambda r: (str(r["_id"]), r["_lang"], bytes(r["_cells"])))}.values())
-    model = Model(sorted({r["_lang"] for r in sample}), idf)
-    place = {x: i for i, x in enumerate(model.langs)}
-    learn(model, [(vector((np.frombuffer(r["_cells"], "<i4"), np.frombuffer(r["_counts"], "<i4")), idf), place[r["_lang"]]) for r in sample])
-    return model
+    return list({(r["_id"], r["_lang"]): r for r in sorted(sample, key=lambda r: (str(r["_id"]), r["_lang"], bytes(r["_cells"])))}.values())
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

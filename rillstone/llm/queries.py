@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from .byte_bpe import op3_byte_bpe
 from .chat_format import OP6_SQL, op6_chat_format
-from .decontaminate import op10_fm_decontaminate
+from .decontaminate import OP10_SQL, op10_fm_decontaminate
 from .hilbert_shards import op2_hilbert_shards
 from .importance import op1_importance
-from .jaccard_join import op7_jaccard_join
+from .jaccard_join import OP7_SQL, op7_jaccard_join
 from .lang_id import op4_lang_id
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .quality_forest import op8_quality_forest
-from .warc import op9_warc
+from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_importance": op1_importance,
@@ -29,4 +29,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_line_dedup": OP5_SQL,
     "op6_chat_format": OP6_SQL,
+    "op7_jaccard_join": OP7_SQL,
+    "op9_warc": OP9_SQL,
+    "op10_fm_decontaminate": OP10_SQL,
 }

@@ -262,3 +262,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(with_record_types(pages), f"{folder}/monolithic")
     back = read_archives(normalise(archives, f"{folder}/normal"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT t, max(page_id) AS last FROM p GROUP BY t),
+d AS (SELECT page_id, strlen(p.t)::BIGINT AS payload_bytes, last,
+        list_transform([1, 6, 11, 16, 21, 26, 31, 36], lambda i: ('0x' || substr(h, i, 5))::BIGINT) AS parts FROM p JOIN g ON p.t = g.t)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+"""

@@ -117,3 +117,19 @@ def test_op1(spark):
     assert (rows.loc[~rows["kept"], "gumbel_key"] <= cut).all()
     kept = rows.loc[labels.index, "kept"]
     assert kept[good].mean() > kept[~good].mean() + 0.3
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_twin(spark, name):
+    import os
+
+    import duckdb
+
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.execute(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
+    want = c.execute(queries.ORACLE_SQL[name])
+    columns = [x[0] for x in want.description]
+    mine = queries.QUERIES[name](spark, SF)
+    assert set(columns) == set(mine.columns)
+    assert sorted(map(tuple, mine.select(*columns).collect())) == sorted(want.fetchall()) if name != "op9_warc" else {tuple(r) for r in mine.select(*columns).collect()} == set(want.fetchall())
