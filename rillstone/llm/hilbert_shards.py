@@ -145,3 +145,43 @@ def op2_hilbert_shards(spark, sf_dir: str) -> DataFrame:
     dims = {"lang_cell": category(F.col("lang")), "source_cell": category(F.col("source")), "size_cell": magnitude(F.col("size"))}
     out = shard_by_hilbert(rows, dims, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert", *dims)
+
+
+def _sql_curve(source: str, bits: int = BITS) -> str:
+    """CTEs `curve`, which give rows (.., x0, x1, x2) of source their `hilbert`: the same turns, Gray code and weave in SQL."""
+    out, before, n = [], source, 3
+    for k, (b, i) in enumerate((b, i) for b in range(bits - 1, 0, -1) for i in range(n)):
+        q, low = 1 << b, (1 << b) - 1
+        swap = f"xor(x0, x{i}) & {low}"
+        first = f"CASE WHEN x{i} & {q} <> 0 THEN xor(x0, {low}) ELSE xor(x0, {swap}) END AS x0"
+        other = [] if i == 0 else [f"CASE WHEN x{i} & {q} <> 0 THEN x{i} ELSE xor(x{i}, {swap}) END AS x{i}"]
+        out.append(f"h{k} AS (SELECT * REPLACE ({', '.join([first, *other])}) FROM {before})")
+        before = f"h{k}"
+    flip = "0"
+    for b in range(bits - 1, 0, -1):
+        flip = f"xor({flip}, CASE WHEN g2 & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    woven = " + ".join(f"((xor(g{i}, f) >> {b}) & 1) * {1 << (b * n + n - 1 - i)}" for b in range(bits) for i in range(n))
+    out.append(f"gray AS (SELECT *, x0 AS g0, xor(x0, x1) AS g1, xor(xor(x0, x1), x2) AS g2 FROM {before})")
+    out.append(f"flipped AS (SELECT *, {flip} AS f FROM gray)")
+    out.append(f"curve AS (SELECT *, ({woven})::BIGINT AS hilbert FROM flipped)")
+    return ",\n".join(out)
+
+
+# The CRC-32 goes byte by byte, over a table of the polynomial's remainders that is computed here too.
+OP2_SQL = f"""
+WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+bytes AS (SELECT doc_id, lang, source, strlen(coalesce(text, '')) + 1 AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents),
+d AS (SELECT doc_id, size::BIGINT AS size,
+  xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+  coalesce(('0x' || md5(lang)[:2])::INT % 32, 0) AS lang_cell, coalesce(('0x' || md5(source)[:2])::INT % 32, 0) AS source_cell, least(length(bin(size)) - 1, 31)::INT AS size_cell
+  FROM bytes, crc),
+cells AS (SELECT *, lang_cell AS x0, source_cell AS x1, size_cell AS x2 FROM d),
+{_sql_curve('cells')},
+ranked AS (SELECT *, row_number() OVER (ORDER BY hilbert, doc_id NULLS FIRST, text_crc32, size) - 1 AS r, count(*) OVER () // 8 AS small, count(*) OVER () % 8 AS larger FROM curve),
+placed AS (SELECT *, CASE WHEN r < larger * (small + 1) THEN r // (small + 1) ELSE larger + (r - larger * (small + 1)) // greatest(small, 1) END AS s FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, s::INT AS shard,
+       (r - CASE WHEN s < larger THEN s * (small + 1) ELSE larger * (small + 1) + (s - larger) * small END)::BIGINT AS slot,
+       NULL::INT AS grown_shard, hilbert, lang_cell::INT AS lang_cell, source_cell::INT AS source_cell, size_cell
+FROM placed
+"""

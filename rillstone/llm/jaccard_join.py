@@ -46,8 +46,10 @@ REGION_SHINGLES, TASK_SHINGLES = 1 << 16, 1 << 20
 MIN_BUCKETS = 16
 #: Pivots of a region that is split, about.
 PIVOTS = 16
-#: A region of more than this share of the region it came from is one that windows don't cut.
-SHRUNK = 0.8
+#: A region of more than this share of the region it came from is one that windows don't cut; all regions
+#: too large for a task that come from one hold at most so many times its members. Copies then grow with
+#: the square root of a cell's size over a task's at most.
+SHRUNK, COPIES = 0.25, 2
 #: Blocks of members, and members of a block, that are compared with all of a region that windows don't cut.
 BLOCKS, BLOCK_MEMBERS = 8, 512
 #: Matches of shingles that are held at once.
@@ -197,7 +199,8 @@ def sets_of(df: DataFrame, chosen: DataFrame, id_col: str, text_col: str, k: int
 def regions_of(sets: DataFrame) -> DataFrame:
     """(s, _tag, n): each class in the region of each of its rarest quarter of shingles that another class has."""
     each = sets.select("_tag", "n", F.explode("set").alias("s"))
-    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # Tables of groups are written before joins, here and below: Spark splits a hot key's rows only if the other side is no aggregate.
+    common = saved(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "common")
     held = each.join(common, "s").groupBy("_tag", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("held"))
     # Shingles of its own come first in a class's order, as they are rarest.
     room = F.floor(F.col("n") * (100 - PERCENT) / 100) + 1 - (F.col("n") - F.size("held"))
@@ -215,7 +218,6 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(now)
     while before[0]:
         both = now.union(now.select("b", "a"))
-        # Written, so that the join below is one of two shuffles, of which Spark splits a hot node's.
         least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -236,7 +238,7 @@ def _renamed(rows: DataFrame, col: str, found: DataFrame) -> DataFrame:
 def cells_of(sets: DataFrame) -> DataFrame:
     """(_tag, n, cell): classes tied together by rare shingles, in cells of two or more."""
     regions = saved(regions_of(sets), "regions")
-    heads = regions.groupBy("s").agg(F.min("_tag").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+    heads = saved(regions.groupBy("s").agg(F.min("_tag").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size"), "heads")
     tied = saved(regions.join(heads, "s").select("_tag", "n", "head").distinct(), "tied")
     found = saved(components(tied.select(F.col("_tag").alias("a"), F.col("head").alias("b"))), "cells")
     return _renamed(tied.select("_tag", "n", F.col("_tag").alias("cell")).distinct(), "cell", found)
@@ -437,7 +439,13 @@ def _shares(of, *by: str):
     return F.pmod(F.xxhash64(F.lit(of), *by), F.lit(1 << 52)) / float(1 << 52)
 
 
-def split(large: DataFrame, near: DataFrame, named: DataFrame, mains: DataFrame, task_shingles: int) -> DataFrame:
+def _beside(df: DataFrame, name: str, max_broadcast: int) -> DataFrame:
+    """A table of groups for a join with their rows: sent to all tasks if it has few rows, so that rows of a large group needn't meet."""
+    rows = saved(df, name)
+    return F.broadcast(rows) if rows.count() <= max_broadcast else rows
+
+
+def split(large: DataFrame, near: DataFrame, named: DataFrame, mains: DataFrame, max_broadcast: int, task_shingles: int) -> DataFrame:
     """The regions that split regions fall into: (region, cell, _tag, n, asks, before).
 
     large: (region, cell, _tag, n, asks, is_pivot, v); near as nearest() has it; mains: the part
@@ -453,6 +461,7 @@ def split(large: DataFrame, near: DataFrame, named: DataFrame, mains: DataFrame,
     far = F.xxhash64("region", F.lit("far"))
     rows = saved(rows.withColumn("own", F.when(F.col("best") < reach, F.xxhash64("region", F.get("near", F.lit(0))["p"])).otherwise(far)), "rows")
     lives = rows.filter("asks").groupBy("region", F.col("own").alias("home")).agg(F.min("best").alias("lo"), F.max("best").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("c").alias("c_least"), F.max("c").alias("c_most"))
+    lives = _beside(lives, "lives", max_broadcast)
     places = F.concat(F.transform(F.coalesce("near", F.array().cast(_NEAR_TYPE)), lambda x: F.struct(x["d"].alias("d"), F.xxhash64("region", x["p"]).alias("home"))), F.array(F.struct(F.col("best").alias("d"), far.alias("home"))))
     copies = rows.select("region", "cell", "_tag", "n", "asks", "c", "best", "own", "v", F.explode(places).alias("x")).select("*", "x.d", "x.home").drop("x")
     copies = copies.join(lives, ["region", "home"])
@@ -461,9 +470,12 @@ def split(large: DataFrame, near: DataFrame, named: DataFrame, mains: DataFrame,
     asks = F.col("asks") & (F.col("own") == F.col("home"))
     open_ = asks | (F.col("c_least") != F.col("c_most")) | (F.col("c") != F.col("c_least"))
     copies = saved(copies.filter(inside & sizes & open_).select("region", "home", "cell", "_tag", "n", asks.alias("asks"), F.col("v").alias("before")), "copies")
-    # What a window hardly makes smaller isn't copied for each pivot: such regions stay together.
-    volume = copies.groupBy("region", "home").agg(F.sum("n").alias("now"))
-    copies = copies.join(volume, ["region", "home"]).withColumn("alike", (F.col("now") > SHRUNK * F.col("before")) & (F.col("now") > task_shingles))
+    # What windows hardly make smaller isn't copied for each pivot but stays together.
+    volume = saved(copies.groupBy("region", "home", "before").agg(F.sum("n").alias("now")), "volume")
+    fits, small = F.col("now") <= task_shingles, F.col("now") <= SHRUNK * F.col("before")
+    total = volume.filter(~fits & small).groupBy("region").agg(F.sum("now").alias("total"))
+    alike = ~fits & (~small | (F.col("total") > COPIES * F.col("before")))
+    copies = copies.join(_beside(volume.join(total, "region", "left").select("region", "home", alike.alias("alike")), "alike", max_broadcast), ["region", "home"])
     apart = copies.filter(~F.col("alike")).select(F.col("home").alias("region"), "cell", "_tag", "n", "asks", "before")
     rest = copies.filter("alike").groupBy(F.xxhash64("region", F.lit("alike")).alias("region"), "cell", "_tag", "n", "before").agg(F.max("asks").alias("asks"))
     return apart.unionByName(rest)
@@ -477,7 +489,7 @@ def joined_classes(sets: DataFrame, pivots: int, max_broadcast: int, task_shingl
     mains = None
     while True:
         v = open_.groupBy("region").agg(F.sum("n").alias("v"), F.sum(F.col("asks").cast("long")).alias("q"), F.min(F.when(F.col("asks"), _shares("pivot", "_tag"))).alias("u")).filter("q > 0")
-        open_ = saved(open_.join(v, "region"), "open")
+        open_ = saved(open_.join(_beside(v, "sizes", max_broadcast), "region"), "open")
         fits, stuck = F.col("v") <= task_shingles, F.coalesce(F.col("v") > SHRUNK * F.col("before"), F.lit(False))
         volume, some_large, some_stuck = open_.agg(F.sum(F.when(fits, F.col("n"))), F.sum(F.when(~fits & ~stuck, F.col("n"))), F.sum(F.when(~fits & stuck, F.col("n")))).first()
         if volume is None and some_large is None and some_stuck is None:
@@ -507,7 +519,7 @@ def joined_classes(sets: DataFrame, pivots: int, max_broadcast: int, task_shingl
             members = large.select("region", "chunk", "_tag", "is_pivot", F.lit(True).alias("is_member"))
             pivot = large.filter("is_pivot").select("region", every.alias("other"), "chunk", "_tag").filter("other <> chunk").select("region", F.col("other").alias("chunk"), "_tag", F.lit(True).alias("is_pivot"), F.lit(False).alias("is_member"))
             sent = members.unionByName(pivot).withColumn("group", F.xxhash64("region", "chunk")).drop("chunk")
-            regions = large.select("region", F.xxhash64("region", "chunk").alias("group")).distinct()
+            regions = _beside(large.select("region", F.xxhash64("region", "chunk").alias("group")).distinct(), "groups", max_broadcast)
             near = saved(nearest(sent.drop("region"), sets, max_broadcast, some_large).join(regions, "group").drop("group"), "near")
             found = near.select("_tag", F.explode(F.filter("near", lambda x: x["linked"])).alias("x"))
             ties.append(found.select(F.col("_tag").alias("a"), F.col("x.p").alias("b")).filter("a <> b"))
@@ -521,9 +533,10 @@ def joined_classes(sets: DataFrame, pivots: int, max_broadcast: int, task_shingl
         if mains is None:
             return named
         now = mains.join(named, mains["first"] == named["_tag"]).select("cell", F.col("c").alias("main"))
+        now = _beside(now, "now", max_broadcast)
         later = [x.join(now, "cell").join(named, "_tag").select("region", "cell", "_tag", "n", (F.col("asks") & (F.col("c") != F.col("main"))).alias("asks"), "before") for x in later]
         if near is not None:
-            later.append(split(large.select("region", "cell", "_tag", "n", "asks", "is_pivot", "v"), near, named, now, task_shingles))
+            later.append(split(large.select("region", "cell", "_tag", "n", "asks", "is_pivot", "v"), near, named, now, max_broadcast, task_shingles))
         if not later:
             return named
         open_ = saved(_union(later).withColumn("whole", F.lit(False)), "regions")
@@ -561,8 +574,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         sets = saved(sets_of(usable, chosen, "_id", "_t", k, max_broadcast), "sets")
         found = saved(joined_classes(sets, pivots, max_broadcast, task_shingles), "found", keep=True)
     named = classes.join(found, "_tag", "left").select("_tag", "n_shingles", "_rep", F.coalesce("c", "_tag").alias("_c"))
-    least = named.groupBy("_c").agg(F.min("_rep").alias("component_id"))
-    named = named.join(least, "_c").select("_tag", "n_shingles", "_c", "component_id")
+    with passing(df.sparkSession):
+        least = saved(named.groupBy("_c").agg(F.min("_rep").alias("component_id")), "least")
+        named = saved(named.join(least, "_c").select("_tag", "n_shingles", "_c", "component_id"), "classes", keep=True)
     out = marked.join(named, ["_tag", "n_shingles"], "left")
     own = F.when(F.col("n_shingles") > 0, F.when(F.col("_id").isNotNull(), F.col("component_id"))).otherwise(F.col("_id"))
     return out.select(*unpacked(keep), "n_shingles", own.alias("component_id"), *new[2:])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op3_byte_bpe
 from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import OP10_SQL, op10_fm_decontaminate
-from .hilbert_shards import op2_hilbert_shards
+from .hilbert_shards import OP2_SQL, op2_hilbert_shards
 from .importance import op1_importance
 from .jaccard_join import OP7_SQL, op7_jaccard_join
 from .lang_id import op4_lang_id
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_hilbert_shards": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
     "op6_chat_format": OP6_SQL,
     "op7_jaccard_join": OP7_SQL,

@@ -152,9 +152,9 @@ def families(seed):
     texts = []
     for core, own in ((60, 2), (60, 14), (90, 30), (40, 10), (50, 16)):
         middle = fresh(core)
-        texts += [middle + fresh(rng.randrange(own // 2, own + 1)) for _ in range(60)]
+        texts += [middle + fresh(rng.randrange(own // 2, own + 1)) for _ in range(40)]
     base = fresh(80)
-    for _ in range(150):  # copies of copies, a few words changed each time
+    for _ in range(120):  # copies of copies, a few words changed each time
         at = rng.randrange(len(base) - 4)
         base = base[:at] + fresh(rng.randrange(1, 5)) + base[at + rng.randrange(1, 5) :]
         texts.append(base)
@@ -162,15 +162,28 @@ def families(seed):
     return [(i * 31 % 1009, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("task_shingles,pivots,blocks", [(1500, 2, 2), (4000, 5, 8), (700, 12, 1)])
-def test_regions_lose_no_link(spark, monkeypatch, task_shingles, pivots, blocks):
-    monkeypatch.setattr(jaccard_join, "BLOCKS", blocks)
+@pytest.mark.parametrize("task_shingles,pivots,shrunk,copies", [(1500, 2, 0.25, 2), (900, 6, 0.95, 50)])
+def test_regions_lose_no_link(spark, monkeypatch, task_shingles, pivots, shrunk, copies):
+    """With regions that mostly stay together and are joined in blocks, and with ones that mostly are split again."""
+    monkeypatch.setattr(jaccard_join, "BLOCKS", 2)
     monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 20)
+    monkeypatch.setattr(jaccard_join, "SHRUNK", shrunk)
+    monkeypatch.setattr(jaccard_join, "COPIES", copies)
     rows = families(task_shingles)
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), pivots=pivots, task_shingles=task_shingles)
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(rows), key=repr)
 
 
+def test_tables_that_nothing_reads_are_removed(spark, docs):
+    from rillstone.sources import scratch
+
+    there = lambda: set(scratch.names(spark, scratch.folder(spark)))
+    before = there()
+    got = jaccard_join.jaccard_components(docs)
+    assert got.count() == len(ROWS)
+    assert {x.rsplit("-", 1)[0] for x in there() - before} == {"sketches", "classes", "found"}
+
+
 def test_windows_spare_overlaps(monkeypatch):
     """The same components with and without windows, and fewer overlaps counted with them."""
     import numpy as np
