@@ -497,7 +497,7 @@ def joined_classes(sets: DataFrame, pivots: int, max_broadcast: int, task_shingl
         ties = []
         if volume:
             ties.append(links_inside(open_.filter(fits).select(F.col("region").alias("group"), "_tag", "asks", "whole"), sets, max_broadcast, volume))
-        chunks = F.ceil(F.col("v") / task_shingles)
+        chunks = F.greatest(F.ceil(F.col("v") / task_shingles), F.lit(MIN_BUCKETS))
         own = F.pmod(F.xxhash64("_tag", F.lit("chunk")), chunks)
         every = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))
         later = []
