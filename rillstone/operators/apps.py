@@ -203,9 +203,9 @@ def ob_final_goods(events: DataFrame, n_keys: int) -> DataFrame:
 # Toll processing
 
 
-def tp_state(events: DataFrame) -> DataFrame:
+def tp_state(events: DataFrame, abort_enabled: bool = True) -> DataFrame:
     """Valid reports with the segment's average speed and distinct vehicles after each."""
-    ok = txn.valid(events, txn.tp_aborts())
+    ok = txn.valid(events, txn.tp_aborts(), abort_enabled)
     return state.running_distinct(state.running_halving_average(ok, "seg", "bid", "speed", "avg_speed"), "seg", "vid", "bid", "cnt")
 
 
@@ -230,6 +230,16 @@ def tp_conventional_toll(events: DataFrame) -> DataFrame:
     return _toll(events, F.col("avg_speed") / F.col("cnt"))
 
 
+#: Fixed value: the average speed beyond which the second dialect aborts.
+MAX_AVERAGE = 350
+
+
+def tp_late_abort_toll(events: DataFrame) -> DataFrame:
+    """(bid, toll) in the dialect that applies each report first and gives -1 where the average is over MAX_AVERAGE then."""
+    toll = F.when(F.col("avg_speed") > MAX_AVERAGE, -1.0).otherwise(toll_formula())
+    return tp_state(events, abort_enabled=False).select("bid", toll.alias("toll"))
+
+
 def tp_segment_speed(events: DataFrame) -> DataFrame:
     return state.final_halving_average(txn.valid(events, txn.tp_aborts()), "seg", "bid", "speed", "avg_speed")
 

@@ -15,6 +15,17 @@ def last_results(results: DataFrame, key: str = "bid", version: str = "version")
     return last.select(key, *[F.col("r").getField(c).alias(c) for c in rest])
 
 
+def measured(results: DataFrame, value: str, failed: float = 0.0, key: str = "bid", version: str = "version", arrived: str = "arrived", done: str = "done") -> DataFrame:
+    """(finished, aborted, mean_seconds): one row on the last result of each bid.
+
+    A result of `failed` counts as aborted; seconds are from arrival to the result. Of no rows
+    the counts are 0 and the mean is null.
+    """
+    last = last_results(results, key, version)
+    seconds = F.unix_micros(F.col(done).cast("timestamp")) - F.unix_micros(F.col(arrived).cast("timestamp"))
+    return last.agg(F.count_if(F.col(value) != failed).alias("finished"), F.count_if(F.col(value) == failed).alias("aborted"), (F.avg(seconds) / 1e6).alias("mean_seconds"))
+
+
 def named_values(df: DataFrame) -> DataFrame:
     """Rows as `f=v, f=v`; null values print as null."""
     return df.select(F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in df.columns]).alias("value"))

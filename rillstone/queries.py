@@ -255,6 +255,7 @@ QUERIES: dict[str, Query] = {
     "tp_segment_count": lambda s, d: apps.tp_segment_count(_tp(s, d)),
     "tp_running_count": lambda s, d: apps.tp_running_count(_tp(s, d)),
     "tp_conventional_toll": lambda s, d: apps.tp_conventional_toll(_tp(s, d)),
+    "tp_late_abort_toll": lambda s, d: apps.tp_late_abort_toll(_tp(s, d)),
     "ob_buy_result": lambda s, d: apps.ob_event_result(*_ob(s, d)).filter("kind = 'buy'").select("bid", "result"),
     "ob_event_result": lambda s, d: apps.ob_event_result(*_ob(s, d)),
     "ob_final_goods": lambda s, d: apps.ob_final_goods(*_ob(s, d)),
@@ -379,6 +380,7 @@ ORACLE_SQL: dict[str, str] = {
     "wc_running": f"WITH {_WORDS} SELECT doc_id, CAST(pos AS INT) AS pos, word, row_number() OVER (PARTITION BY word ORDER BY doc_id, pos) AS cnt FROM w",
     "tp_toll": f"WITH RECURSIVE {_TP} SELECT c.bid, CASE WHEN c.cnt <= 50 THEN s.v * 50 ELSE s.v * 50 * (c.cnt - 50) * (c.cnt - 50) END AS toll FROM tpc c JOIN sp s USING (seg, r) UNION ALL SELECT bid, -1.0 FROM tpe WHERE speed > 400",
     "tp_conventional_toll": f"WITH RECURSIVE {_TP} SELECT c.bid, s.v / c.cnt AS toll FROM tpc c JOIN sp s USING (seg, r) UNION ALL SELECT bid, -1.0 FROM tpe WHERE speed > 400",
+    "tp_late_abort_toll": f"WITH RECURSIVE {_TP.replace(' FROM tpe WHERE speed <= 400', ' FROM tpe')} SELECT c.bid, CASE WHEN s.v > 350 THEN -1.0 WHEN c.cnt <= 50 THEN s.v * 50 ELSE s.v * 50 * (c.cnt - 50) * (c.cnt - 50) END AS toll FROM tpc c JOIN sp s USING (seg, r)",
     "tp_segment_speed": f"WITH RECURSIVE {_TP} SELECT seg, arg_max(v, r) AS avg_speed FROM sp GROUP BY seg",
     "tp_segment_count": f"WITH RECURSIVE {_TP} SELECT seg, count(DISTINCT vid) AS cnt FROM tpv GROUP BY seg",
     "tp_running_count": f"WITH RECURSIVE {_TP} SELECT bid, seg, cnt FROM tpc",

@@ -6,10 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text
 
-def text_lines(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Lines of the files of a folder, a few files in each epoch. Blank lines are left out."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).filter(F.trim("value") != "")
+
+def text_lines(spark: SparkSession, path: str, files_per_batch: int = 1, word_size: int = 0) -> DataFrame:
+    """Lines of the files of a folder, a few files in each epoch. Blank lines are left out.
+
+    word_size pads shorter words to so many characters, for a larger payload.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).filter(F.trim("value") != "")
+    return lines.withColumn("value", text.padded_words(F.col("value"), word_size)) if word_size else lines
+
+
+def stamped(events: DataFrame) -> DataFrame:
+    """events with `arrived`, the time at which their micro-batch took them."""
+    return events.withColumn("arrived", F.current_timestamp())
 
 
 def parquet_events(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:

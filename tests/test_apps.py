@@ -460,6 +460,32 @@ def test_text_streams_and_sinks(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "dump")).collect()] == ["9;2,", "10;1,"]
 
 
+def test_measures_and_dumps(spark, tmp_path):
+    from rillstone.operators import sinks
+    from rillstone.sources import streams as sources
+
+    data = [(3, 1, 1.0, 0, 2), (1, 1, 0.0, 0, 1), (1, 2, 5.0, 1, 4), (2, 1, 0.0, 2, 3)]
+    df = spark.createDataFrame(data, "bid long, version int, v double, a long, d long").withColumns({"arrived": F.timestamp_seconds("a"), "done": F.timestamp_seconds("d")})
+    assert rows(sinks.measured(df, "v"), "finished", "aborted", "mean_seconds") == [(2, 1, 2.0)]
+    assert rows(sinks.measured(df.limit(0), "v"), "finished", "aborted", "mean_seconds") == [(0, 0, None)]
+    sinks.dump_results(sinks.last_results(df).coalesce(1), ["v"], str(tmp_path / "results"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "results")).collect()]
+    assert sorted(lines) == ["1;5.0,", "2;0.0,", "3;1.0,"] and spark.read.text(str(tmp_path / "results")).first()["value"].startswith("1;")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("a bcd\n\n")
+    stream = sources.stamped(sources.text_lines(spark, str(tmp_path / "in"), word_size=3))
+    query = stream.writeStream.format("memory").queryName("padded").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.sql("select value, arrived from padded").collect()
+    assert [r["value"] for r in got] == ["axx bcd"] and got[0]["arrived"] is not None
+
+
+def test_values_before_a_row_may_be_structs(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "b"), (2, 3, None)], "k long, bid long, w string")
+    got = state.value_before(df, ["k"], "bid", F.when(F.col("w").isNotNull(), F.struct("w", "bid")), "seen")
+    assert {(r["k"], r["bid"]): r["seen"] and tuple(r["seen"]) for r in got.collect()} == {(1, 1): None, (1, 2): ("a", 1), (1, 3): ("a", 1), (2, 3): None}
+
+
 def test_event_time_windows_close_with_the_watermark(spark, tmp_path):
     from rillstone.sources import streams as sources
 
