@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import state
@@ -11,6 +15,8 @@ from ..sources import scratch
 
 #: Fixed initial values of the shared tables.
 GS_INITIAL, SL_INITIAL, OB_INITIAL_QTY = 100, 10_000, 100
+#: Epochs that are sent to all tasks; more of them are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 
 
 # Word count
@@ -100,40 +106,149 @@ def sl_initial(spark: SparkSession, n_keys: int) -> DataFrame:
     return spark.range(n_keys).select(F.col("id").alias("key"), start.alias("account"), start.alias("asset"))
 
 
-#: Epochs whose events share a folder.
-EPOCHS_A_FOLDER = 256
+#: Rows that a fold's task holds before it adds them up or hands them on.
+FOLD_ROWS = 1 << 17
+
+
+def sl_ops(events: DataFrame) -> DataFrame:
+    """(epoch, moves, key, tgt, da, db): what committing events do. A transfer moves from key to tgt; all else adds to key alone."""
+    ok = txn.valid(events, txn.sl_aborts()).filter(F.col("kind").isin("deposit", "transfer") & F.col("epoch").isNotNull())
+    moves, amount = F.col("kind") == "transfer", F.col("amount").cast("long")
+    return ok.select(F.col("epoch").cast("long").alias("epoch"), moves.alias("moves"), F.col("src").cast("long").alias("key"), F.when(moves, F.col("tgt")).cast("long").alias("tgt"), amount.alias("da"), amount.alias("db"))
+
+
+def sl_history(ops: DataFrame, balances: DataFrame) -> DataFrame:
+    """(epoch, key, account, asset, new_account, new_asset): the balances that each epoch found and left, of keys that it names.
+
+    Any transfer may tie any two keys, so epochs run one after another: one task walks through the
+    sorted operations with all balances in hand, 24 bytes a key, and adds up one epoch at a time.
+    Operations on keys without balances are left out, and so is a transfer from one.
+    """
+    number = F.col("key").cast("long").alias("key")
+    start = balances.select(F.lit(None).cast("long").alias("epoch"), F.lit(False).alias("moves"), number, F.lit(None).cast("long").alias("tgt"), F.col("account").cast("long").alias("da"), F.col("asset").cast("long").alias("db"))
+    rows = start.unionByName(ops).repartition(1).sortWithinPartitions(F.col("epoch").asc_nulls_first())
+    names, limit = ["epoch", "key", "account", "asset", "new_account", "new_asset"], FOLD_ROWS
+
+    # Modules of this package needn't be on the workers, so all of it goes along by value.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = lambda batch, c: batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        opening, keys, now = [], None, None
+
+        def placed(batch, c):
+            """Places of keys, and which of them have one."""
+            x = numbers(batch, c)
+            at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+            return at, batch.column(c).is_valid().to_numpy(zero_copy_only=False) & (keys[at] == x)
+
+        def added(changes):
+            """One change for each place, summed exactly, and beside it as doubles that show an overflow."""
+            places, to = np.unique(np.concatenate([c[0] for c in changes]), return_inverse=True)
+            exact, rough = np.zeros((2, len(places)), np.int64), np.zeros((2, len(places)))
+            for s in (0, 1):
+                np.add.at(exact[s], to, np.concatenate([c[1][s] for c in changes]))
+                rough[s] = np.bincount(to, np.concatenate([c[2][s] for c in changes]), len(places))
+            return places, exact, rough
+
+        def closed(epoch, changes):
+            places, exact, rough = added(changes)
+            before = now[:, places]
+            after = before + exact
+            if (np.abs(after - (before + rough)) > 2.0**62).any():
+                raise OverflowError(f"a balance is beyond 64 bits after epoch {epoch}")
+            now[:, places] = after
+            return np.full(len(places), epoch), keys[places], *before, *after
+
+        def batched(made):
+            columns = [np.concatenate(x) for x in zip(*made, strict=True)]
+            for i in range(0, len(columns[0]), limit):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + limit], pa.int64()) for c in columns], names=names)
+
+        epoch, changes, held, made, ready = None, [], 0, [], 0
+        for batch in batches:
+            first = batch.column("epoch").null_count
+            if first:
+                opening.append([numbers(batch.slice(0, first), c) for c in ("key", "da", "db")])
+            batch = batch.slice(first)
+            if not batch.num_rows or not opening:
+                continue
+            if keys is None:
+                keys, *now = (np.concatenate(x) for x in zip(*opening, strict=True))
+                order = np.argsort(keys, kind="stable")
+                keys, now, opening = keys[order], np.stack(now)[:, order], [None]
+            moves = batch.column("moves").to_numpy(zero_copy_only=False).astype(bool)
+            (key, known), (tgt, there) = placed(batch, "key"), placed(batch, "tgt")
+            amounts, epochs = np.stack([numbers(batch, c) for c in ("da", "db")]), numbers(batch, "epoch")
+            cuts = np.flatnonzero(np.diff(epochs)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(epochs)], strict=True):
+                if epochs[i] != epoch:
+                    if changes:
+                        made.append(closed(epoch, changes))
+                        ready += len(made[-1][0])
+                    epoch, changes, held = epochs[i], [], 0
+                    if ready >= limit:
+                        yield from batched(made)
+                        made, ready = [], 0
+                own = np.arange(i, j)[known[i:j]]
+                if not len(own):
+                    continue
+                moved = own[moves[own]]
+                moved = moved[there[moved]]
+                # A bonus of a tenth of what the source had at the epoch's start.
+                bonus = np.trunc(amounts[:, moved] + now[:, key[moved]] * 0.1)
+                if (np.abs(bonus) >= 2.0**63).any():
+                    raise OverflowError(f"a transfer is beyond 64 bits in epoch {epoch}")
+                change = np.where(moves[own], -amounts[:, own], amounts[:, own])
+                change = np.concatenate([change, bonus.astype(np.int64)], axis=1)
+                changes.append((np.concatenate([key[own], tgt[moved]]), change, change.astype(float)))
+                held += change.shape[1]
+                if held > 8 * limit:
+                    changes = [added(changes)]
+                    held = len(changes[0][0])
+        if changes:
+            made.append(closed(epoch, changes))
+        if made:
+            yield from batched(made)
+
+    return scratch.written(rows.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "ledger")
+
+
+def sl_after(history: DataFrame, balances: DataFrame) -> DataFrame:
+    """(key, account, asset) after the last epoch; balances stand before the first."""
+    latest = history.groupBy("key").agg(F.max_by(F.struct("new_account", "new_asset"), "epoch").alias("_l"))
+    return balances.join(latest, "key", "left").select("key", F.coalesce("_l.new_account", "account").alias("account"), F.coalesce("_l.new_asset", "asset").alias("asset"))
+
+
+def sl_starts(history: DataFrame, balances: DataFrame, epochs: list[int]) -> DataFrame:
+    """(epoch, key, account, asset) of all keys at the start of each of the epochs, which have those of the history.
+
+    What an epoch left in a key stands until the next one that names the key.
+    """
+    spark = history.sparkSession
+    nth = spark.createDataFrame(list(enumerate(epochs)), "nth long, epoch long")
+    nth = F.broadcast(nth) if len(epochs) <= MAX_BROADCAST else nth
+    left = history.join(nth, "epoch").select("nth", "key", F.col("new_account").alias("account"), F.col("new_asset").alias("asset"))
+    left = balances.select(F.lit(-1).cast("long").alias("nth"), "key", "account", "asset").unionByName(left)
+    until = F.lead("nth", 1, len(epochs) - 1).over(Window.partitionBy("key").orderBy("nth"))
+    spans = left.withColumn("_until", until).filter("_until > nth")
+    return spans.select(F.explode(F.sequence(F.col("nth") + 1, "_until")).alias("nth"), "key", "account", "asset").join(nth, "nth").select("epoch", "key", "account", "asset")
+
+
+def sl_transfers(events: DataFrame, history: DataFrame) -> DataFrame:
+    """(bid, v1, v2): what each committed transfer saw at its source."""
+    moves = txn.valid(events, txn.sl_aborts()).filter(F.col("kind") == "transfer").select("bid", "epoch", F.col("src").alias("key"))
+    seen = history.select("epoch", "key", F.col("account").alias("v1"))
+    return moves.join(seen, ["epoch", "key"]).select("bid", "v1", F.col("v1").alias("v2"))
 
 
-def sl_run(events: DataFrame, n_keys: int, balances: DataFrame | None = None, with_results: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def sl_run(events: DataFrame, n_keys: int, balances: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(transfer results, balances at the start of each epoch, final balances).
 
-    An epoch needs the balances that the one before left, so epochs run one after
-    another. Events are written once, sorted into folders of a few epochs; an epoch reads its own
-    rows there and writes its results and balances, so neither plans nor scans grow with
-    the epochs. balances, of which n_keys is the number of keys if there are none, stand before the first.
+    balances, of which n_keys is the number of keys if there are none, stand before the first epoch.
     """
-    spark = events.sparkSession
-    out = scratch.fresh(spark, "ledger")
-    start = sl_initial(spark, n_keys) if balances is None else balances.select("key", "account", "asset")
-    named = events.withColumn("of", F.floor(F.col("epoch") / EPOCHS_A_FOLDER))
-    named.repartition("of").sortWithinPartitions("of", "epoch").write.partitionBy("of").parquet(f"{out}/events")
-    kept = spark.read.parquet(f"{out}/events")
-    now, keys = start, start.schema
-    for (epoch,) in sorted(kept.select("epoch").distinct().collect()):
-        now.write.parquet(f"{out}/balances/epoch={epoch}")
-        now = spark.read.schema(keys).parquet(f"{out}/balances/epoch={epoch}")
-        own = spark.read.schema(events.schema).parquet(f"{out}/events/of={epoch // EPOCHS_A_FOLDER}").filter(F.col("epoch") == epoch)
-        moved, now = sl_epoch(own, now)
-        if with_results:
-            moved.write.parquet(f"{out}/results/epoch={epoch}")
-    now.write.parquet(f"{out}/final")
-    starts = f"{out}/balances"
-    none = sl_initial(spark, 0)
-    return (
-        spark.read.parquet(f"{out}/results").select("bid", "v1", "v2") if scratch.names(spark, f"{out}/results") else none.select(F.col("key").alias("bid"), F.col("account").alias("v1"), F.col("account").alias("v2")),
-        (spark.read.parquet(starts) if scratch.names(spark, starts) else none.withColumn("epoch", F.lit(0))).select(F.col("epoch").cast("long").alias("epoch"), "key", "account", "asset"),
-        spark.read.schema(keys).parquet(f"{out}/final"),
-    )
+    start = sl_initial(events.sparkSession, n_keys) if balances is None else balances.select("key", "account", "asset")
+    history = sl_history(sl_ops(events), start)
+    epochs = sorted(e for (e,) in events.select("epoch").distinct().collect() if e is not None)
+    return sl_transfers(events, history), sl_starts(history, start, epochs), sl_after(history, start)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -126,7 +126,7 @@ def recovery_replay_ob(spark, sf_dir):
 def recovery_determinants_sl(spark, sf_dir):
     """Balances after partition LOST alone ran again from a snapshot, with logged balances of other partitions."""
     events, n = _sl(spark, sf_dir)
-    _, starts, final = apps.sl_run(events, n, with_results=False)
+    _, starts, final = apps.sl_run(events, n)
     epoch = (starts.agg(F.max("epoch")).first()[0] or 0) // 2
     since = events.filter(F.col("epoch") >= epoch)
     log = scratch.written(recovery.determinants(since, starts, n, PARTITIONS), "determinants")
@@ -261,8 +261,8 @@ QUERIES: dict[str, Query] = {
     "ob_final_goods": lambda s, d: apps.ob_final_goods(*_ob(s, d)),
     "sl_deposit_result": lambda s, d: apps.sl_deposit_result(_sl(s, d)[0]),
     "sl_epoch_transfer_result": lambda s, d: apps.sl_run(*_sl(s, d))[0],
-    "sl_epoch_balances": lambda s, d: apps.sl_run(*_sl(s, d), with_results=False)[1],
-    "sl_final_balances": lambda s, d: apps.sl_run(*_sl(s, d), with_results=False)[2],
+    "sl_epoch_balances": lambda s, d: apps.sl_run(*_sl(s, d))[1],
+    "sl_final_balances": lambda s, d: apps.sl_run(*_sl(s, d))[2],
     "recovery_log_gs": recovery_log_gs,
     "recovery_dependency_gs": recovery_dependency_gs,
     "recovery_replay_ob": recovery_replay_ob,

@@ -429,6 +429,40 @@ def test_aborts_are_static(spark):
     assert rows(txn.valid(ev, txn.tp_aborts(), False), "bid") == [(1,), (2,)]
 
 
+def jobs_of(spark, name, run):
+    """How many Spark jobs run() takes."""
+    spark.sparkContext.setJobGroup(name, name)
+    run()
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_ledger_jobs_do_not_grow_with_epochs(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    sl = generators.sl_workload(generators.transactions(spark, 240, 12))
+    few, many = (jobs_of(spark, f"ledger-{size}", lambda size=size: [x.collect() for x in apps.sl_run(sl.withColumn("epoch", F.floor((F.col("bid") - 1) / size)), 12)]) for size in (120, 4))
+    assert many <= few + 2
+
+
+def test_ledger_epochs_across_batches_and_missing_keys(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    # Key 7 has no balances: a transfer from it does nothing, one to it still pays; epoch 5 only aborts, 3 and 4 are not there.
+    ev = [(1, 2, "deposit", 0, None, 600), (2, 2, "transfer", 7, 1, 5), (3, 2, "transfer", 0, 7, 5), (4, 2, "deposit", 7, None, 9), (5, 5, "deposit", 1, None, -1), (6, 6, "transfer", 0, 1, 1), (7, 6, "transfer", 1, 0, 2), (8, 6, "transfer", 0, None, 3), (9, 6, "deposit", None, None, 4)]
+    moved, starts, final = apps.sl_run(spark.createDataFrame(ev, SL), 2)
+    assert rows(moved, "bid", "v1", "v2") == [(3, 10000, 10000), (6, 10595, 10595), (7, 10000, 10000), (8, 10595, 10595)]
+    assert rows(starts, "epoch", "key", "account", "asset") == [(2, 0, 10000, 10000), (2, 1, 10000, 10000), (5, 0, 10595, 10595), (5, 1, 10000, 10000), (6, 0, 10595, 10595), (6, 1, 10000, 10000)]
+    assert rows(final, "key", "account", "asset") == [(0, 11593, 11593), (1, 11058, 11058)]
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+        assert rows(apps.sl_run(spark.createDataFrame(ev, SL), 2)[2], "key", "account", "asset") == [(0, 11593, 11593), (1, 11058, 11058)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert all(not x.collect() for x in apps.sl_run(spark.createDataFrame([], SL), 0))
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        apps.sl_run(spark.createDataFrame([(1, 0, "deposit", 0, None, (1 << 63) - 10)], SL), 1)
+
+
 def test_ledger_conserves_money_but_for_bonuses(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     sl = generators.sl_workload(generators.transactions(spark, 300, 12)).withColumn("epoch", F.lit(0))
