@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..plans import transactions as txn
 from ..plans.transactions import partition_of
-from ..sources import scratch
 from . import apps
 
 
@@ -105,7 +104,7 @@ def rolled_back(current: DataFrame, snapshot: DataFrame, events: DataFrame, lost
 def determinants(events: DataFrame, starts: DataFrame, n_keys: int, partitions: int) -> DataFrame:
     """(bid, account, asset): the balances that transfers between partitions saw at their source.
 
-    starts: (epoch, key, account, asset) at the start of each epoch.
+    starts: (epoch, key, account, asset) at the start of each epoch, of the keys that transfer in it at least.
     """
     moves = txn.valid(events, txn.sl_aborts()).filter(F.col("kind") == "transfer")
     apart = moves.filter(partition_of(F.col("src"), n_keys, partitions) != partition_of(F.col("tgt"), n_keys, partitions))
@@ -120,15 +119,12 @@ def ledger_with_determinants(events: DataFrame, snapshot: DataFrame, log: DataFr
     mine = lambda c: partition_of(F.col(c), n_keys, partitions) == lost
     ok = txn.valid(events, txn.sl_aborts()).filter(mine("src") | F.coalesce(mine("tgt"), F.lit(False)))
     own = snapshot.filter(mine("key"))
-    # Epoch by epoch, as within an epoch transfers between own keys see its start.
-    now = own.select("key", "account", "asset")
-    ok = scratch.written(ok.join(log.withColumnRenamed("account", "_a").withColumnRenamed("asset", "_b"), "bid", "left"), "input")
-    for (epoch,) in sorted(ok.select("epoch").distinct().collect()):
-        batch = ok.filter(F.col("epoch") == epoch)
-        logged = batch.filter(F.col("_a").isNotNull() & mine("tgt")).select(F.col("tgt").alias("key"), (F.col("amount") + F.col("_a") * 0.1).cast("long").alias("da"), (F.col("amount") + F.col("_b") * 0.1).cast("long").alias("db"))
-        paid = batch.filter(F.col("_a").isNotNull() & mine("src")).select(F.col("src").alias("key"), (-F.col("amount")).alias("da"), (-F.col("amount")).alias("db"))
-        _, after = apps.sl_epoch(batch.filter(F.col("_a").isNull()).drop("_a", "_b"), now)
-        sums = logged.unionByName(paid).groupBy("key").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-        after = after.join(sums, "key", "left").select("key", (F.col("account") + F.coalesce("da", F.lit(0))).alias("account"), (F.col("asset") + F.coalesce("db", F.lit(0))).alias("asset"))
-        now = scratch.written(after, "epoch")
-    return now
+    ok = ok.join(log.withColumnRenamed("account", "_a").withColumnRenamed("asset", "_b"), "bid", "left")
+    logged, amount = F.col("_a").isNotNull(), F.col("amount").cast("long")
+    bonus = lambda c: (F.col("amount") + F.col(c) * 0.1).cast("long")
+    plain = lambda key, da, db: F.struct(F.col("epoch").cast("long").alias("epoch"), F.lit(False).alias("moves"), F.col(key).cast("long").alias("key"), F.lit(None).cast("long").alias("tgt"), da.alias("da"), db.alias("db"))
+    ends = F.array(F.when(mine("tgt"), plain("tgt", bonus("_a"), bonus("_b"))), F.when(mine("src"), plain("src", -amount, -amount)))
+    known = ok.filter(logged & F.col("epoch").isNotNull()).select(F.explode(F.array_compact(ends)).alias("op")).select("op.*")
+    # Transfers between own keys see the start of their epoch.
+    history = apps.sl_history(apps.sl_ops(ok.filter(~logged)).unionByName(known), own)
+    return apps.sl_after(history, own.select("key", "account", "asset"))

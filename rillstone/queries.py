@@ -126,12 +126,14 @@ def recovery_replay_ob(spark, sf_dir):
 def recovery_determinants_sl(spark, sf_dir):
     """Balances after partition LOST alone ran again from a snapshot, with logged balances of other partitions."""
     events, n = _sl(spark, sf_dir)
-    _, starts, final = apps.sl_run(events, n)
-    epoch = (starts.agg(F.max("epoch")).first()[0] or 0) // 2
+    first = apps.sl_initial(spark, n)
+    history = apps.sl_history(apps.sl_ops(events), first)
+    epoch = (events.agg(F.max("epoch")).first()[0] or 0) // 2
     since = events.filter(F.col("epoch") >= epoch)
-    log = scratch.written(recovery.determinants(since, starts, n, PARTITIONS), "determinants")
-    own = recovery.ledger_with_determinants(since, starts.filter(F.col("epoch") == epoch), log, LOST, n, PARTITIONS)
-    return final.filter(txn.partition_of(F.col("key"), n, PARTITIONS) != LOST).unionByName(own)
+    log = scratch.written(recovery.determinants(since, history, n, PARTITIONS), "determinants")
+    snapshot = apps.sl_after(history.filter(F.col("epoch") < epoch), first)
+    own = recovery.ledger_with_determinants(since, snapshot, log, LOST, n, PARTITIONS)
+    return apps.sl_after(history, first).filter(txn.partition_of(F.col("key"), n, PARTITIONS) != LOST).unionByName(own)
 
 
 def gs_stored_values(spark, sf_dir):

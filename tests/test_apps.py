@@ -22,6 +22,14 @@ def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
+def jobs_of(spark, name, run):
+    """How many Spark jobs run() takes."""
+    spark.sparkContext.setJobGroup(name, name)
+    run()
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
 def test_grep_sum_by_hand(spark):
     ev = spark.createDataFrame([(1, 0, [1, 2], [5, 7], False), (2, 0, [1, 2], [0, 0], True), (3, 0, [1, 2], [-1, -1], False), (4, 0, [1, 3], [-1, -1], True)], GS)
     assert rows(apps.gs_read_sum(ev), "bid", "read_sum") == [(2, 212), (4, 205)]
@@ -356,6 +364,23 @@ def test_recoveries_against_undisturbed_runs(spark, tmp_path):
         assert rows(own, "key", "account", "asset") == rows(final.filter(txn.partition_of(F.col("key"), n, parts) == lost), "key", "account", "asset")
 
 
+def test_recovery_by_determinants_takes_as_many_jobs_for_many_epochs(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    n, parts = 24, 6
+    sl = generators.sl_workload(generators.transactions(spark, 240, n))
+    took = []
+    for size, middle in ((60, 2), (4, 30)):
+        events = sl.withColumn("epoch", F.floor((F.col("bid") - 1) / size))
+        _, starts, final = apps.sl_run(events, n)
+        late = events.filter(F.col("epoch") >= middle)
+        log = recovery.determinants(late, starts, n, parts).localCheckpoint()
+        snapshot = starts.filter(F.col("epoch") == middle).localCheckpoint()
+        own = []
+        took.append(jobs_of(spark, f"recovery-{size}", lambda own=own, late=late, snapshot=snapshot, log=log: own.extend(rows(recovery.ledger_with_determinants(late, snapshot, log, 3, n, parts), "key", "account", "asset"))))
+        assert own == rows(final.filter(txn.partition_of(F.col("key"), n, parts) == 3), "key", "account", "asset")
+    assert took[1] <= took[0] + 2
+
+
 def test_store_of_tables(spark, tmp_path):
     from rillstone.sources import tables
 
@@ -429,14 +454,6 @@ def test_aborts_are_static(spark):
     assert rows(txn.valid(ev, txn.tp_aborts(), False), "bid") == [(1,), (2,)]
 
 
-def jobs_of(spark, name, run):
-    """How many Spark jobs run() takes."""
-    spark.sparkContext.setJobGroup(name, name)
-    run()
-    spark.sparkContext._jsc.sc().clearJobGroup()
-    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
-
-
 def test_ledger_jobs_do_not_grow_with_epochs(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     sl = generators.sl_workload(generators.transactions(spark, 240, 12))
