@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return files.fresh(ready(spark), name)
 
 
+def give_back() -> None:
+    """Hand a worker's freed memory back to the system, as two workers and a heap share an executor's; where glibc is not, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _PASSING: list[list[str]] = []
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_labels, exact, others, packed, passing, ready, saved, unpacked
+from .common import bucket_labels, exact, give_back, others, packed, passing, ready, saved, unpacked
 from .words import SPACED, grouped, mixed, windows, with_columns_from_text, words
 
 SHINGLE = 5
@@ -294,8 +294,16 @@ class Held:
             b = max(a + 1, int(np.searchsorted(total, total[a] + MATCHES, "right")) - 1)
             part = slice(ends[a], ends[b])
             hits, start = found[part], lo[part]
-            place = np.repeat(start - np.concatenate([[0], np.cumsum(hits)[:-1]]), hits) + np.arange(int(hits.sum())) if len(hits) else np.zeros(0, np.int64)
-            pair, both = np.unique(np.repeat(who[part], hits) * n + self.post[place] % n, return_counts=True)
+            # In place: all copies of a large group match each other, and two workers share what an executor has beside its heap.
+            place = np.arange(int(hits.sum()))
+            place += np.repeat(start - np.concatenate([[0], np.cumsum(hits)])[:-1], hits)
+            pair = self.post[place]
+            del place
+            pair %= n
+            pair += np.repeat(who[part] * n, hits)
+            pair.sort()
+            first = np.flatnonzero(np.concatenate([[len(pair) > 0], pair[1:] != pair[:-1]])[: len(pair)])
+            pair, both = pair[first], np.diff(first, append=len(pair))
             yield asking[pair // n], self.at[pair % n], both
             a = b
 
@@ -395,7 +403,14 @@ def _dealt(rows: DataFrame, sets: DataFrame, max_broadcast: int, volume: int, ru
     rows = rows.withColumn("bucket", F.get(labels, F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int")))
     few = rows.count() <= max_broadcast
     full = sets.select("_tag", "set").join(F.broadcast(rows) if few else rows, "_tag")
-    return full.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, schema)
+
+    def once(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return full.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(once, schema)
 
 
 def links_inside(rows: DataFrame, sets: DataFrame, max_broadcast: int, volume: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import gzip
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -563,3 +565,17 @@ def test_broken_archives():
     with pytest.raises(ValueError):
         list(warc.records(warc.inflated(lambda n, it=iter([packed[:-20], b""]): next(it))))
     assert len(list(warc.records(warc.inflated(lambda n, it=iter([packed, gzip.compress(data), b""]): next(it))))) == 4
+
+
+def test_overlaps_of_a_large_group_of_copies_take_two_numbers_a_match():
+    members, own = 200, 100
+    held = jaccard_join.Held(np.zeros(members, np.int64), np.full(members, own), np.tile(np.arange(1, own + 1, dtype=np.uint64), members))
+    held.ordered(np.arange(members))
+    tracemalloc.start()
+    try:
+        found = [len(a) for a, _, both in held.overlaps(np.arange(members), np.zeros(members, np.int64), np.full(members, members)) if (both == own).all()]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(found) == members * members
+    assert most < 20 * members * members * own  # bytes; 16 are two 64-bit numbers
